@@ -4,15 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from . import counts, packing, secrets, simhash, toxicity, warc
+from . import bpe, chat, counts, graph, packing, secrets, simhash, topk, toxicity, warc
 
 #: Sizes that the queries are run with.
 SEQUENCE = 2048
 TOKEN_LIMIT = 512
 
 
+#: The tools that conversations may call.
+TOOLS = {
+    "calculate": {"expression": ("string", True), "digits": ("integer", False)},
+    "fetch": {"url": ("string", True), "timeout": ("number", False), "follow": ("boolean", False)},
+    "search": {"query": ("string", True), "limit": ("integer", False), "filters": ("object", False), "fields": ("array", False)},
+}
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -30,6 +39,16 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("toxic", scored["p_toxic"] > toxicity.THRESHOLD)
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), most=5, every=50, scale=256)
+
+
+def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    coded = bpe.encode_decode(docs, vocabulary("word_bpe_49k.json"))
+    return coded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return simhash.shown(simhash.groups(docs, words=4, bits=64, radius=4))
@@ -39,6 +58,14 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op7_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), most=5, every=50)
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chat(spark.read.parquet(f"{sf_dir}/conversations.parquet"), chat.tool_schemas(spark, TOOLS))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("file", "start", "end")
 
