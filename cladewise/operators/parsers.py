@@ -20,7 +20,6 @@ from ..functions.schema import RANKS
 TAXON = "struct<name:string,rank:string>"
 CANDIDATE = "struct<kind:string,name:string>"
 LINEAGE = "struct<" + ",".join(f"`{r}`:string" for r in RANKS) + ">"
-HEADER = F.col("header")
 #: Fixed values of the formats.
 GTDB_TAGS = ("d__", "p__", "c__", "o__", "f__", "g__", "s__")
 PR2_RANKS = ("domain", None, "phylum", None, "class", "order", "family", "genus", "species")
@@ -67,7 +66,7 @@ def parsed(rows: DataFrame, source: str, marker: str, malformed: Column, accessi
 
 def gtdb(rows: DataFrame, marker: str = "ssu") -> DataFrame:
     """`accession d__..;p__..;..;s__.. [more]`; its own lineage is the backbone."""
-    head = cut_at(HEADER, " ")
+    head = cut_at("header", " ")
     fields = F.split(cut_at(head["tail"], " [")["head"], ";")
     names = [F.nullif(strip(F.substring(F.try_element_at(fields, F.lit(i + 1)), 4, 1 << 20)), F.lit("")) for i in range(7)]
     tags = F.lit(True)
@@ -81,7 +80,7 @@ def gtdb(rows: DataFrame, marker: str = "ssu") -> DataFrame:
 
 def pr2(rows: DataFrame, marker: str = "ssu") -> DataFrame:
     """4 fields and 9 names between bars; only nuclear 18S of eukaryotes."""
-    fields = F.split(HEADER, r"\|")
+    fields = F.split("header", r"\|")
     at = lambda i: F.try_element_at(fields, F.lit(i + 1))
     target = F.struct(at(1), at(2), at(4)).eqNullSafe(F.struct(*map(F.lit, PR2_TARGET)))
     lineage = F.filter(F.array(*(taxon(at(4 + i), r) for i, r in enumerate(PR2_RANKS))), lambda t: t["name"] != "")
@@ -91,7 +90,7 @@ def pr2(rows: DataFrame, marker: str = "ssu") -> DataFrame:
 
 def refseq(rows: DataFrame, domain: str, locus: str, marker: str = "ssu") -> DataFrame:
     """`accession organism <locus> ribosomal RNA ...`."""
-    head = cut_at(HEADER, " ")
+    head = cut_at("header", " ")
     organism = F.regexp_extract(head["tail"], rf"(?s)^(.*?) {locus} (?:ribosomal RNA|rRNA)(?U:\b)", 1)
     name = split_organism(organism)
     lineage = F.array(taxon(F.lit(domain), "domain"), taxon(organism, None))
@@ -100,7 +99,7 @@ def refseq(rows: DataFrame, domain: str, locus: str, marker: str = "ssu") -> Dat
 
 def genbank(rows: DataFrame, marker: str, domain: str = EUKARYOTA) -> DataFrame:
     """`accession [UNVERIFIED: ]organism ...`."""
-    head = cut_at(HEADER, " ")
+    head = cut_at("header", " ")
     organism = strip(F.regexp_replace(head["tail"], "^UNVERIFIED: ", ""))
     name = split_organism(organism)
     lineage = F.array(taxon(F.lit(domain), "domain"), taxon(organism, None))
@@ -109,7 +108,7 @@ def genbank(rows: DataFrame, marker: str, domain: str = EUKARYOTA) -> DataFrame:
 
 def eukribo(rows: DataFrame, marker: str = "ssu") -> DataFrame:
     """`accession Eukaryota|clade|...|g:Genus|Genus+epithet`."""
-    head = cut_at(HEADER, " ")
+    head = cut_at("header", " ")
     fields = F.split(head["tail"], r"\|")
     clades = F.slice(fields, F.lit(2), F.greatest(F.size(fields) - 1, F.lit(0)))
     first = lambda x: F.try_element_at(x, F.lit(1))
@@ -123,7 +122,7 @@ def eukribo(rows: DataFrame, marker: str = "ssu") -> DataFrame:
 
 def silva(rows: DataFrame, marker: str = "ssu") -> DataFrame:
     """`accession.start.end taxon;...;organism`; organelles are left out."""
-    head = cut_at(HEADER, " ")
+    head = cut_at("header", " ")
     fields = F.split(head["tail"], ";")
     taxa = F.slice(fields, F.lit(1), F.size(fields) - 1)
     below = F.slice(taxa, F.lit(2), F.greatest(F.size(taxa) - 1, F.lit(0)))
@@ -137,7 +136,7 @@ def silva(rows: DataFrame, marker: str = "ssu") -> DataFrame:
 
 def midori(rows: DataFrame, marker: str = "coi") -> DataFrame:
     """`accession;tax=k:Domain_id,p:...,s:...;`."""
-    head = cut_at(F.regexp_replace(HEADER, ";+$", ""), ";tax=")
+    head = cut_at(F.regexp_replace("header", ";+$", ""), ";tax=")
     fields = F.transform(F.split(head["tail"], ",(?=[kpcofgs]:)"), lambda f: cut_at(f, ":"))
 
     def name(f: Column) -> Column:
@@ -157,7 +156,7 @@ def midori(rows: DataFrame, marker: str = "coi") -> DataFrame:
 
 def unite(rows: DataFrame, marker: str = "its") -> DataFrame:
     """`name|accession|SH|type|k__..;p__..;..;s__..`."""
-    parts = F.split(HEADER, r"\|")
+    parts = F.split("header", r"\|")
     fields = F.transform(F.split(F.coalesce(F.try_element_at(parts, F.lit(5)), F.lit("")), ";"), lambda f: cut_at(f, "__"))
     tags = {t: r for t, r in TAGS.items() if t != "k"}
 
