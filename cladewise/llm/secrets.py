@@ -104,6 +104,10 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         return F.struct(F.greatest(done["at"], s["end"] + 1).alias("at"), F.when(fresh, more).otherwise(done["done"]).alias("done"))
 
     clean = F.aggregate("spans", start, step, lambda done: F.concat(done["done"], F.substring(F.col("text"), done["at"], F.length("text"))))
-    hit = F.size("spans") > 0
-    out = [F.when(hit, clean).otherwise(F.col(f"c{i}")) if i == at else F.when(hit, F.length(clean).cast(docs.schema[i].dataType)).otherwise(F.col(f"c{i}")) if c == "n_chars" else F.col(f"c{i}") for i, c in enumerate(docs.columns)]
-    return rows.select(*(x.alias(c) for x, c in zip(out, docs.columns)))
+    # In a step of its own: a select that makes a new `text` would lend it to the lambdas beside it.
+    rows = rows.withColumn("_clean", F.when(F.size("spans") > 0, clean))
+    own = {i: F.col(f"c{i}") for i in range(width)} | {at: F.coalesce("_clean", F.col(f"c{at}"))}
+    for i, c in enumerate(docs.columns):
+        if c == "n_chars":
+            own[i] = F.coalesce(F.length("_clean").cast(docs.schema[i].dataType), F.col(f"c{i}"))
+    return rows.select(*(own[i].alias(c) for i, c in enumerate(docs.columns)))
