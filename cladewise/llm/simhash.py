@@ -280,20 +280,20 @@ def link_prints(prints: DataFrame, bits: int, radius: int) -> DataFrame:
 def components(edges: DataFrame, low: str = "a", high: str = "b", rounds: int = 40) -> DataFrame:
     """(node, root): the least node of each node's component, by turns of large-star and small-star.
 
-    Each turn joins the edges with each node's least neighbour; both are partial sums
-    by node, and Spark splits the partitions of a node with many edges. Edges are
-    written to the checkpoint folder each round, so lineage stays short.
+    Each turn joins the edges with each node's least neighbour, a partial sum by node;
+    the edges of a node with many are dealt out in slices. Edges are written to the
+    checkpoint folder each round, so lineage stays short.
     """
     pairs = checkpointed(edges.select(F.greatest(low, high).alias("u"), F.least(low, high).alias("v")).where("u != v").distinct())
     before = None
     for _ in range(rounds):
         # large-star: what is larger than a node goes to the node's least neighbour
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
+        large = attach(both.where("v > u"), least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         # small-star: what is smaller than a node, and the node, go to its least neighbour
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = attach(large, least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         pairs = checkpointed(small)
         now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
