@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("scalar_queries", "merge_queries", "backbone_queries", "training_queries", "metric_queries", "file_queries")
+MODULES = ("scalar_queries", "merge_queries", "backbone_queries", "training_queries", "metric_queries", "file_queries", "model_queries")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
