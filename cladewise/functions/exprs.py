@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pyspark.sql.functions as F
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 
 from .schema import COMPLEMENTS, NUCLEOTIDES, RANKS
 
@@ -151,10 +151,8 @@ def learning_rate_factor(step: Column | str, total: int, warmup: int) -> Column:
     return F.when(col(step) < warmup, (col(step) + 1) / max(1, warmup)).otherwise(0.5 * (1 + F.cos(math.pi * F.least(F.lit(1.0), past))))
 
 
-def sampling_weights(frequency: Column | str, power: float) -> Column:
-    """Frequency to the power -power, scaled to the number of rows; one pass for the sum, none by key."""
+def raw_weight(frequency: Column | str, power: float) -> Column:
+    """Frequency to the power -power."""
     if not 0 <= power <= 1:
         raise ValueError("power must lie in [0, 1]")
-    raw = F.pow(col(frequency), F.lit(-power))
-    every = Window.partitionBy()
-    return raw * F.count(F.lit(1)).over(every) / F.sum(raw).over(every)
+    return F.pow(col(frequency), F.lit(-power))

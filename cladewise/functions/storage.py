@@ -17,6 +17,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def materialised(df: DataFrame, name: str = "table") -> DataFrame:
+    """df written once to the shared folder and read back: what depends on it twice sees the same rows, also after a lost executor."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def write_text(path: str | Path, content: str) -> None:
     """A local file, first under another name."""
     path = Path(path)

@@ -5,8 +5,9 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, Window
 
-from ..functions.exprs import balancing_key, tokens
+from ..functions.exprs import balancing_key, raw_weight, tokens
 from ..functions.hashing import draw
+from .ordering import numbered, running
 
 
 def class_frequencies(rows: DataFrame, rank: str = "genus") -> DataFrame:
@@ -16,18 +17,16 @@ def class_frequencies(rows: DataFrame, rank: str = "genus") -> DataFrame:
     return named.join(counts, "_key").drop("_key")
 
 
-def token_bank(rows: DataFrame, order: list[str]) -> DataFrame:
-    """`tokens` (a byte each) and `offset`, where they begin if all follow one another in order.
+def sampling_weights(rows: DataFrame, frequency: str, power: float, name: str = "weight") -> DataFrame:
+    """Rows with a weight, frequency to the power -power, scaled so that weights sum to the number of rows."""
+    raw = raw_weight(frequency, power)
+    one = rows.agg((F.count(F.lit(1)) / F.sum(raw)).alias("_scale"))
+    return rows.join(F.broadcast(one), F.lit(True)).withColumn(name, raw * F.col("_scale")).drop("_scale")  # with a row
 
-    Starts are sums within range partitions on top of the partitions' sums, so no task
-    sees all rows.
-    """
-    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = sorted_rows.withColumn("_before", F.coalesce(F.sum("length").over(within), F.lit(0)))
-    sums = placed.groupBy("_part").agg(F.sum("length").alias("_sum"))
-    bases = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")  # a row for each partition
-    return placed.join(F.broadcast(bases), "_part").withColumn("offset", F.col("_base") + F.col("_before")).withColumn("tokens", tokens("sequence")).drop("_part", "_before", "_base")
+
+def token_bank(rows: DataFrame, order: list[str]) -> DataFrame:
+    """`tokens` (a byte each) and `offset`, where they begin if all follow one another in order."""
+    return running(rows, order, F.col("length"), "offset").withColumn("tokens", tokens("sequence"))
 
 
 def bank_is_whole(bank: DataFrame) -> DataFrame:
@@ -62,9 +61,9 @@ def bucket_by_length(rows: DataFrame, order: list[str], batch_size: int, window:
 
     `ordinal` numbers the rows in order; of equal lengths the earlier stays first.
     """
-    numbered = rows if "ordinal" in rows.columns else rows.withColumn("ordinal", F.row_number().over(Window.orderBy(*order)) - 1)
+    in_order = rows if "ordinal" in rows.columns else numbered(rows, order)
     size = batch_size * window
-    placed = numbered.withColumn("bucket", F.floor(F.col("ordinal") / size).cast("int"))
+    placed = in_order.withColumn("bucket", F.floor(F.col("ordinal") / size).cast("int"))
     place = F.row_number().over(Window.partitionBy("bucket").orderBy("length", "ordinal")) - 1
     return placed.withColumn("_p", place).withColumn("batch", (F.col("bucket") * window + F.floor(F.col("_p") / batch_size)).cast("int")).withColumn("slot", (F.col("_p") % batch_size).cast("int")).drop("_p")
 
@@ -73,7 +72,8 @@ def shuffled_batches(batches: DataFrame, batch_size: int, seed: int, impl: str =
     """(batch, size, turn): full batches in drawn order, shorter ones last."""
     sizes = batches.groupBy("batch").agg(F.count(F.lit(1)).alias("size"))
     drawn = draw(F.col("batch").cast("string"), seed, "batch", impl)
-    return sizes.withColumn("turn", F.row_number().over(Window.orderBy(F.col("size") < batch_size, drawn, "batch")) - 1)
+    keyed = sizes.withColumn("_short", F.col("size") < batch_size).withColumn("_draw", drawn)
+    return numbered(keyed, ["_short", "_draw", "batch"], "turn").drop("_short", "_draw")
 
 
 def padded(batches: DataFrame, max_length: int, min_width: int = 1) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import exprs
 from ..functions.hashing import draw, sequence_hash
 from ..functions.schema import COMPLEMENTS, NUCLEOTIDES, Filters
 from ..operators import staging
+from ..operators.batches import sampling_weights
 from .adapters import SEQUENCES_SQL, STAGED_SQL, key_sql, balancing_sql, q, read, sequences, staged
 from .catalog import query
 
@@ -168,7 +169,7 @@ def s20(spark, sf):
 @query("S21_sampling_weights", "SELECT p_partkey AS k, round(pow(f, -0.5) * count(*) OVER () / sum(pow(f, -0.5)) OVER (), 8) AS weight FROM (SELECT p_partkey, CAST(count(*) OVER (PARTITION BY p_brand) AS DOUBLE) AS f FROM part)")
 def s21(spark, sf):
     rows = read(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.count(F.lit(1)).over(Window.partitionBy("p_brand")).cast("double").alias("f"))
-    return rows.select("k", F.round(exprs.sampling_weights("f", 0.5), 8).alias("weight"))
+    return sampling_weights(rows, "f", 0.5).select("k", F.round("weight", 8).alias("weight"))
 
 
 @query("S23_locus_match", "SELECT k, CASE WHEN k % 3 = 0 THEN n WHEN k % 3 = 1 THEN n || ' voucher' ELSE '' END AS organism FROM (SELECT p_partkey AS k, p_name AS n FROM part)")

@@ -153,9 +153,7 @@ def t18(spark, sf):
 
 @query("T19_weighted_sample")
 def t19(spark, sf):
-    from ..functions.exprs import sampling_weights
-
-    weighted = batches.class_frequencies(train(spark, sf)).withColumn("weight", sampling_weights("frequency", 0.5))
+    weighted = batches.sampling_weights(batches.class_frequencies(train(spark, sf)), "frequency", 0.5)
     return batches.weighted_sample(weighted, "weight", 1000, 7, impl="md5").select("seq_hash", "copy")
 
 
