@@ -38,7 +38,7 @@ def valid_sequence(c: Column | str) -> Column:
 
 def count_ambiguous(c: Column | str) -> Column:
     """Letters other than A, C, G and T."""
-    return F.length(F.regexp_replace(col(c), "[ACGT]", ""))
+    return F.length(F.regexp_replace(col(c), "[ACGT]+", ""))
 
 
 def reverse_complement(c: Column | str) -> Column:

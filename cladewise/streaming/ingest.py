@@ -19,7 +19,7 @@ def records(spark: SparkSession, folder: str, marker: str = "ssu", filters: Filt
     header = F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))
     sequence = normalize_sequence(F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), ""))
     rows = pieces.where(F.size(lines) > 0).select(cut_at(header, " ")["head"].alias("accession"), sequence.alias("sequence"), F.lit(marker).alias("marker"), F.current_timestamp().alias("seen"))
-    rows = rows.withColumn("length", F.length("sequence")).withColumn("n_ambiguous", F.length(F.regexp_replace("sequence", "[ACGT]", "")))
+    rows = rows.withColumn("length", F.length("sequence")).withColumn("n_ambiguous", F.length(F.regexp_replace("sequence", "[ACGT]+", "")))
     filters = filters or Filters()
     return rows.withColumn("exclusion", F.coalesce(F.when(~valid_sequence("sequence"), "invalid_sequence"), length_reason(filters), ambiguity_reason(filters)))
 
