@@ -160,9 +160,9 @@ def c02(spark, sf):
 
 
 def learnable(spark, sf):
-    rows = dataset(spark, sf)
-    space = labels.label_space(rows.where("split = 'train'"), 3)
-    coded = labels.encode(batches.class_frequencies(rows.where("split = 'train'"), "class"), space, ["seq_hash", "sequence", "frequency"])
+    rows = storage.materialised(dataset(spark, sf))
+    space = storage.materialised(labels.label_space(rows.where("split = 'train'"), 3))
+    coded = storage.materialised(labels.encode(batches.class_frequencies(rows.where("split = 'train'"), "class"), space, ["seq_hash", "sequence", "frequency"]))
     sizes = {r["level"]: r["n"] for r in labels.level_sizes(space).collect()}  # a row for each level
     return coded, labels.encode(rows.where("split = 'val'"), space, ["seq_hash", "sequence"]), [max(1, sizes.get(n, 0)) for n in LEVELS]
 

@@ -366,3 +366,9 @@ def test_cli(tmp_path):
     assert main(["nonsense"]) == 2 and main(["build", "--data-dir", str(tmp_path)]) == 1
     assert main(["augment", "--data-dir", str(tmp_path)]) == 1 and main(["train", "--data-dir", str(tmp_path)]) == 2
     assert not (Path(tmp_path) / "processed").exists()
+
+
+def test_kmer_shares(spark):
+    frame = spark.createDataFrame([("ACAC",), ("ANC",), ("A",), ("",)], "s string").select(training.kmer_shares("s", 2).alias("x"))
+    out = [r.x for r in frame.collect()]
+    assert out[0][1] == 2 / 3 and out[0][4] == 1 / 3 and sum(out[0]) == 1 and [sum(x) for x in out[1:]] == [0, 0, 0] and {len(x) for x in out} == {16}
