@@ -24,8 +24,8 @@ def canonical(text: Column) -> Column:
 
 def tool_schemas(spark, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
     """(name, parameters) of {tool: {parameter: (kind, required)}}."""
-    rows = [(tool, [(p, kind, need) for p, (kind, need) in sorted(told.items())]) for tool, told in sorted(schemas.items())]
-    return spark.createDataFrame(rows, "name string, parameters array<struct<parameter string, kind string, required boolean>>")
+    rows = [F.struct(F.lit(tool).alias("name"), F.array(*(F.struct(F.lit(p).alias("parameter"), F.lit(kind).alias("kind"), F.lit(need).alias("required")) for p, (kind, need) in sorted(told.items()))).alias("parameters")) for tool, told in sorted(schemas.items())]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def checked(calls: DataFrame) -> DataFrame:
