@@ -244,25 +244,25 @@ def place(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return bins, offsets
 
 
-def pieces_of(docs: DataFrame, path: str, size: int, end_id: int = 0) -> DataFrame:
-    """A row for each piece of each document: doc_id, piece, start, length, ids, and its row's number in its partition."""
+def pieces_of(docs: DataFrame, path: str, size: int, end_id: int = 0, with_ids: bool = True) -> DataFrame:
+    """A row for each piece of each document: doc_id, piece, start, length, ids (if asked for), and its row's number in its partition."""
     rows = pick(docs, "doc_id", "text")
-    schema = T.StructType([rows.schema[0], *(T.StructField(n, t) for n, t in (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("ids", T.BinaryType()), ("row", T.LongType())))])
+    schema = T.StructType([rows.schema[0], *(T.StructField(n, t) for n, t in (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("row", T.LongType()), *[("ids", T.BinaryType())] * with_ids))])
     ending = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         ids, row = kept_packing(path), 0
         for batch in batches:
-            of, out = [], ([], [], [], [], [], [])
+            of, out = [], ([], [], [], [], [], [])[: 5 + with_ids]
             for i, value in enumerate(batch.column(1)):
                 whole = ids.encode(value.as_py() or "") + ending
                 for k, (start, length) in enumerate(cut(len(whole) // 4, size)):
                     part = whole[4 * start : 4 * (start + length)]
                     of.append(i)
-                    for column, x in zip(out, (k, start, length, zlib.crc32(part), part, row)):
+                    for column, x in zip(out, (k, start, length, zlib.crc32(part), row, part)):
                         column.append(x)
                 row += 1
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *(pa.array(c, k) for c, k in zip(out, kinds))], schema.names)
 
     return rows.mapInArrow(run, schema)
@@ -279,9 +279,7 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0, with_ids
     rows; other columns are left out.
     """
     groups = max(1, math.ceil(docs.count() / GROUP))
-    pieces = pieces_of(docs, path, size, end_id)
-    if not with_ids:
-        pieces = pieces.drop("ids")
+    pieces = pieces_of(docs, path, size, end_id, with_ids)
     pieces = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "ids_crc32", "row"), F.lit(groups))).drop("row")
     kept = [c for c in pieces.columns if c != "_group"]
     schema = T.StructType([*(pieces.schema[c] for c in kept), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
