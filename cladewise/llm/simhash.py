@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -24,6 +25,8 @@ BLOCK = 2048
 MOST_SPLIT = 20_000
 #: (fingerprint, word) pairs compared together, and shingles whose bits are unpacked together.
 PAIRS, SHINGLES = 1 << 16, 1 << 15
+#: Shingle sets that are compared together, and bits that tell which sets are wanted.
+SETS, SIEVE = 4096, 1 << 23
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -328,14 +331,148 @@ def shown(prints: DataFrame) -> DataFrame:
     return prints.withColumn("fingerprint", F.lower(F.hex("print"))).drop("print")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, bits: int = 512, radius: int = 92) -> DataFrame:
+def set_rows(docs: DataFrame, words: int, bits: int) -> DataFrame:
+    """(doc_id, print, digest) of each row: print of its distinct shingles, each once, and 16 bytes that tell their set."""
+    rows = pick(docs, "doc_id", "text")
+    schema = T.StructType([rows.schema[0], T.StructField("print", T.BinaryType()), T.StructField("digest", T.BinaryType())])
+
+    def run(batches):
+        for batch in batches:
+            found = [np.unique(shingle_hashes(x.as_py() or "", words)) for x in batch.column(1)]
+            out = [pa.array([fingerprint(x, bits).astype(">u8").tobytes() for x in found], pa.binary()), pa.array([digest(x) for x in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *out], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def digest(found: np.ndarray) -> bytes:
+    return hashlib.blake2b(found.astype("<u8").tobytes(), digest_size=16).digest()
+
+
+def sieve(keys: DataFrame) -> np.ndarray:
+    """SIEVE bits, those set that the keys (one binary column) begin with; a fixed size, however many keys there are."""
+
+    def run(batches):
+        bits = np.zeros(SIEVE, bool)
+        for batch in batches:
+            bits[places(batch.column(0))] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+
+    out = np.zeros(SIEVE // 8, np.uint8)
+    for row in keys.coalesce(16).mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(row.bits, np.uint8)
+    return np.unpackbits(out).astype(bool)
+
+
+def places(keys) -> np.ndarray:
+    return np.array([int.from_bytes(x[:4], "little") for x in keys.to_pylist()], np.int64) % SIEVE
+
+
+def shingle_sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
+    """(digest, shingles) of the sets wanted (digest), and of some others; at most once for each task that meets one."""
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(sieve(wanted)))  # SIEVE bits
+
+    def run(batches):
+        bits, met = np.unpackbits(sent.value).astype(bool), set()
+        for batch in batches:
+            keys, sets = [], []
+            for x in batch.column(0):
+                found = np.unique(shingle_hashes(x.as_py() or "", words))
+                key = digest(found)
+                if bits[int.from_bytes(key[:4], "little") % SIEVE] and key not in met:
+                    met.add(key)
+                    keys.append(key)
+                    sets.append(found.astype("<u8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["digest", "shingles"])
+
+    return pick(docs, "text").mapInArrow(run, "digest binary, shingles binary")
+
+
+def similar(sets: list[np.ndarray], side: np.ndarray, least: float) -> np.ndarray:
+    """Edges (i, j) that join the sets as all pairs of Jaccard `least` or more would; side as in links().
+
+    Each set is counted against all later ones of its similarity's sizes that no link
+    has joined with it yet, so a group of near copies takes few rounds.
+    """
+    size = np.array([len(x) for x in sets])
+    names, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.cumsum(size) - size
+    root, mark = np.arange(len(sets)), np.zeros(len(names), bool)
+    for i in range(len(sets) - 1):
+        j = np.arange(i + 1, len(sets))
+        j = j[(root[j] != root[i]) & ((side[j] == 0) | (side[j] != side[i]))]
+        j = j[(size[j] >= least * size[i] - 1) & (size[i] >= least * size[j] - 1) & (size[j] > 0)]
+        if not len(j) or not size[i]:
+            continue
+        own = ids[begin[i] : begin[i] + size[i]]
+        mark[own] = True
+        ends = np.cumsum(size[j])
+        at = np.arange(ends[-1]) + np.repeat(begin[j] - ends + size[j], size[j])
+        both = np.add.reduceat(mark[ids[at]].astype(np.int64), ends - size[j])
+        mark[own] = False
+        j = j[both >= least * (size[i] + size[j] - both) - 1e-9]
+        root = joined(root, np.full(len(j), i), j)
+    to = np.flatnonzero(root != np.arange(len(sets)))
+    return np.stack([root[to], to], 1)
+
+
+def link_sets(sets: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """Edges (a, b) between digests whose sets have a Jaccard similarity of `least` or more, as far as their components go.
+
+    sets: (root, digest); all pairs of a root are told apart by their whole sets. Roots
+    of more than SETS are split into blocks, and each pair of blocks is compared by itself.
+    """
+    sizes = sets.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
+    several = attach(sets, sizes.withColumn("_sets", F.col("_n")), "root", "_n").where("_sets > 1")
+    several = checkpointed(several.select("digest", "root", F.when(F.col("_sets") > SETS, F.ceil(F.col("_sets") / SETS)).otherwise(1).cast("int").alias("blocks")))
+    rows = shingle_sets(docs, words, several.select("digest")).join(several, "digest").dropDuplicates(["digest"])
+    block = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, block).alias("low"), F.greatest(o, block).alias("high"), F.when(o == block, 0).when(block < o, 1).otherwise(2).alias("side")))
+    rows = rows.select("root", "digest", "shingles", F.explode(pairs).alias("p")).select("root", "p.low", "p.high", "p.side", "digest", "shingles")
+    rows = rows.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "digest")
+
+    def compare(batches):
+        for table in batched(batches, 3, SETS):
+            keys = [table.column(c).to_pylist() for c in ("root", "low", "high")]
+            digests, raw, side = table.column("digest").to_pylist(), table.column("shingles").to_pylist(), table.column("side").to_numpy()
+            begin = [k for k in range(len(raw)) if not k or any(x[k] != x[k - 1] for x in keys)]
+            for a, b in zip(begin, [*begin[1:], len(raw)]):
+                if b - a > 1:
+                    found = similar([np.frombuffer(x, "<u8") for x in raw[a:b]], side[a:b], least)
+                    if len(found):
+                        yield pa.RecordBatch.from_arrays([pa.array([digests[a + k] for k in found[:, c]], pa.binary()) for c in (0, 1)], ["a", "b"])
+
+    return rows.mapInArrow(compare, "a binary, b binary")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, bits: int = 512, radius: int = 92) -> DataFrame:
+    """(doc_id, digest, component_id) of each row: links are pairs of shingle sets of Jaccard `least` or more.
+
+    SimHash within radius only finds what is compared: the whole sets of all rows that
+    its links lead to are compared with each other, and only verified pairs link.
+    Rows of one set, texts without words among them, are one node.
+    """
+    rows = checkpointed(set_rows(docs, words, bits))
+    sets = checkpointed(rows.groupBy("digest").agg(F.first("print").alias("print"), F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_n")))
+    prints = checkpointed(sets.groupBy("print").agg(F.count(F.lit(1)).alias("_sets")))
+    near = components(link_prints(prints.select("print"), bits, radius)).withColumnRenamed("node", "print")
+    candidates = sets.select("print", "digest").join(near, "print", "left").select(F.coalesce("root", "print").alias("root"), "digest")
+    found = components(link_sets(candidates, docs, words, least))
+    rooted = sets.join(found, F.col("digest") == F.col("node"), "left").withColumn("root", F.coalesce("root", "digest"))
+    first = rooted.groupBy("root").agg(F.min("_least").alias("component_id"), F.count(F.lit(1)).alias("_digests"))
+    named = attach(rooted.select("root", "digest", "_n"), first, "root", "_digests").drop("root")
+    return attach(rows.drop("print"), named, "digest", "_n").select("doc_id", "digest", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, bits: int = 512, radius: int = 92, least: float = 0.8) -> DataFrame:
     """docs without the rows that are near-duplicates of a row with a smaller doc_id; columns as they were.
 
-    512 bits at radius 92 stand for a similarity of word shingles of 0.8 or more: two
-    sets at Jaccard 0.8 have the cosine 0.89 and differ in 78 bits on average. Of rows
-    with one doc_id one stays; rows with a null doc_id all stay.
+    Near are word shingles of Jaccard `least` or more, and what such pairs join. 512
+    bits at radius 92 only find the candidates: two sets at Jaccard 0.8 have the cosine
+    0.89 and differ in 78 bits on average. Of rows with one doc_id one stays; rows with
+    a null doc_id all stay.
     """
-    kept = groups(docs, words, bits, radius).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = similar_groups(docs, words, least, bits, radius).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     own = f"c{docs.columns.index('doc_id')}"
     first = plain.join(kept, plain[own] == kept["_kept"], "left_semi").dropDuplicates([own])

@@ -327,6 +327,29 @@ def test_large_buckets_are_split(spark, monkeypatch):
     assert sizes.most_common(1)[0][1] > 100
 
 
+def shingles(text):
+    return {*simhash.shingle_hashes(text, 5).tolist()}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("sets", [4096, 3])
+def test_near_copies_are_verified(spark, monkeypatch, sets):
+    """Fingerprints alone drop 106's and 155's neighbours of similarity 0.797 and 0.76, and repeats hide other words."""
+    monkeypatch.setattr(simhash, "SETS", sets)
+    rng = random.Random(8)
+    base = [str(rng.random()) for _ in range(300)]
+    made = {1000: "word " * 5000 + "one tail of its own here", 1001: "word " * 5000 + "and another which differs"}
+    made |= {1010 + k: " ".join(base[: 290 + k % 7] + [f"w{k}"]) for k in range(12)}
+    texts = texts_of(spark) | made
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    root = reached({i: shingles(t) for i, t in texts.items()}, lambda a, b: jaccard(a, b) >= 0.8)
+    kept = {r.doc_id for r in simhash.one_of_each(frame).collect()}
+    assert {1000, 1001} <= kept and kept == {i for i in texts if root[i] == i}
+
+
 @pytest.mark.parametrize("bits, radius", [(64, 4), (512, 92)])
 def test_planes_agree_with_counting(bits, radius):
     rng = np.random.RandomState(1)
