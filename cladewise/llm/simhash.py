@@ -27,6 +27,8 @@ MOST_SPLIT = 20_000
 PAIRS, SHINGLES = 1 << 16, 1 << 15
 #: Shingle sets that are compared together, and bits that tell which sets are wanted.
 SETS, SIEVE = 4096, 1 << 23
+#: The share of bits in which two sets at Jaccard 0.8 differ on average, and the chance at which tables may miss such a pair.
+EXPECTED, MISSED = 78 / 512, 0.001
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -75,15 +77,15 @@ def tables(bits: int, radius: int, rows: int) -> list[list[int]]:
     two fingerprints that differ in at most radius bits, one slice at least is equal,
     so no pair is missed. For longer fingerprints a table samples places (a fixed
     stride walk): as many as tell `rows` fingerprints apart, 12 at least; and there
-    are so many tables that a pair at the radius itself is missed with a chance of 0.05;
-    a pair at 78 of 512 bits with one of 0.01.
+    are so many tables that a pair at the distance expected of Jaccard 0.8 (EXPECTED
+    of the bits) is in no bucket together with a chance of MISSED.
     """
     if bits == 64:
         edges = [round(i * bits / (radius + 1)) for i in range(radius + 2)]
         return [list(range(a, b)) for a, b in zip(edges, edges[1:])]
     places = min(48, max(12, math.ceil(math.log2(max(2, rows))) - 12))
-    equal = (1 - radius / bits) ** places
-    number = math.ceil(math.log(0.05) / math.log(1 - equal))
+    equal = (1 - EXPECTED) ** places
+    number = math.ceil(math.log(MISSED) / math.log(1 - equal))
     order = np.random.RandomState(SEED)
     return [sorted(order.choice(bits, places, replace=False).tolist()) for _ in range(number)]
 
@@ -445,7 +447,7 @@ def link_sets(sets: DataFrame, docs: DataFrame, words: int, least: float) -> Dat
     return rows.mapInArrow(compare, "a binary, b binary")
 
 
-def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, bits: int = 512, radius: int = 92) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, bits: int = 512, radius: int = 116) -> DataFrame:
     """(doc_id, digest, component_id) of each row: links are pairs of shingle sets of Jaccard `least` or more.
 
     SimHash within radius only finds what is compared: the whole sets of all rows that
@@ -464,13 +466,14 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, bits: in
     return attach(rows.drop("print"), named, "digest", "_n").select("doc_id", "digest", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, bits: int = 512, radius: int = 92, least: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 5, bits: int = 512, radius: int = 116, least: float = 0.8) -> DataFrame:
     """docs without the rows that are near-duplicates of a row with a smaller doc_id; columns as they were.
 
     Near are word shingles of Jaccard `least` or more, and what such pairs join. 512
-    bits at radius 92 only find the candidates: two sets at Jaccard 0.8 have the cosine
-    0.89 and differ in 78 bits on average. Of rows with one doc_id one stays; rows with
-    a null doc_id all stay.
+    bits at radius 116 only find the candidates: two sets at Jaccard 0.8 have the cosine
+    0.89 and differ in 78 bits on average, so the radius is more than four deviations
+    off (fewer for sets of less than ten shingles). What is missed is in README. Of
+    rows with one doc_id one stays; rows with a null doc_id all stay.
     """
     kept = similar_groups(docs, words, least, bits, radius).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])

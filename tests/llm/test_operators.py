@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import inspect
 import math
 import random
 import re
@@ -350,6 +351,20 @@ def test_near_copies_are_verified(spark, monkeypatch, sets):
     assert {1000, 1001} <= kept and kept == {i for i in texts if root[i] == i}
 
 
+def test_pairs_at_the_threshold_are_found():
+    """The whole chance that a pair at Jaccard 0.8 is no candidate, radius and tables together."""
+    rng, radius = np.random.RandomState(4), inspect.signature(simhash.one_of_each).parameters["radius"].default
+    found = [np.array(t) for t in simhash.tables(512, radius, 1_000_000)]
+    missed = []
+    for k in range(600):
+        n = (25, 100, 250)[k % 3]
+        u = rng.randint(0, 2**63, n, np.int64).astype(np.uint64) * np.uint64(2) + rng.randint(0, 2, n).astype(np.uint64)
+        a, b = (simhash.fingerprint(x, 512) for x in (u[: n - n // 10], u[n // 10 :]))
+        off = np.unpackbits((a ^ b).astype("<u8").view(np.uint8), bitorder="little")
+        missed.append(off.sum() > radius or all(off[t].any() for t in found))
+    assert np.mean(missed) <= 0.015
+
+
 @pytest.mark.parametrize("bits, radius", [(64, 4), (512, 92)])
 def test_planes_agree_with_counting(bits, radius):
     rng = np.random.RandomState(1)
