@@ -140,13 +140,14 @@ def chain_of(rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) -> C
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], sample: int = SAMPLE) -> Chain:
     """A chain fitted on at most `sample` labelled rows, those whose ids hash lowest.
 
-    Rows without id, text or label take no part; of a document labelled twice both
-    labels count. Without a labelled row of both classes the chain says 0.5 at most,
+    Rows without id, text or any label take no part and leave their place in the sample
+    to others; of a document labelled twice both labels count, equal ones once. Without a labelled row of both classes the chain says 0.5 at most,
     so it rejects nothing.
     """
-    told = pick(labels, "doc_id", *categories).where(F.col("doc_id").isNotNull())
-    told = told.orderBy(F.xxhash64("doc_id"), *categories).limit(sample)
     texts = pick(docs, "doc_id", "text").where("text is not null")
+    told = pick(labels, "doc_id", *categories).where(F.col("doc_id").isNotNull() & F.coalesce(*categories).isNotNull()).distinct()
+    told = told.join(texts.select("doc_id"), "doc_id", "left_semi")
+    told = told.orderBy(F.xxhash64("doc_id"), *categories).limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:

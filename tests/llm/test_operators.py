@@ -136,6 +136,16 @@ def test_toxicity_awkward(spark, docs):
     assert toxicity.classify(docs.limit(0), labels.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("waste", ["null labels", "no document", "one document"])
+def test_sample_holds_usable_labels(spark, waste):
+    docs = spark.createDataFrame([(i, ("vile " if i % 2 else "kind ") + f"text number {i}") for i in range(200)], "doc_id long, text string")
+    first = docs.orderBy(F.xxhash64("doc_id")).first().doc_id
+    ids = {"null labels": [(i, None, None) for i in range(200) for _ in range(20)], "no document": [(i, 1, 0) for i in range(1000, 9000)], "one document": [(first, 1, first % 2)] * 4000}[waste]
+    labels = spark.createDataFrame(ids + [(i, 1, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(docs, labels, ("quality", "toxic"), 200)
+    assert chain.probabilities("vile text")[1] > 0.5 >= chain.probabilities("kind text")[1]
+
+
 def test_chain_uses_out_of_fold_probabilities():
     """A later model may lean on an earlier category: here the second label is the first one."""
     rng = random.Random(1)
