@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import pyspark.sql.functions as F
@@ -19,33 +20,49 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"c{df.columns.index(n)}").alias(n) for n in names])
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written once to the folder of spark.checkpoint.dir, without its lineage."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", "") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint"))  # a local run
-    return df.checkpoint(eager=True)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder.
+
+    Where neither is set, a local run gets a temporary folder, which becomes the
+    context's; on a cluster that would be one machine's disk, so it is an error.
+    """
+    context = spark.sparkContext
+    if told := spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir():
+        return told
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="shared"))
+    return context.getCheckpointDir()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is set, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="shared")
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder, without its lineage."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
 
 
 def attach(rows: DataFrame, facts: DataFrame, key: str, count: str) -> DataFrame:
     """rows left-joined with facts, one row for each key, of which count is its number of rows.
 
-    The rows of hot keys are spread over HOT_SLICES slices and their facts, at most
-    HOT_SHARE keys, are repeated for each slice; so no task gets all rows of a key.
+    Facts are written once. Those of hot keys, fewer than HOT_SHARE, are broadcast, and
+    their rows are dealt out over HOT_SLICES slices of the join with the others, so no
+    task gets all rows of a key. Without a hot key the join is the plain one.
     """
-    total = facts.agg(F.coalesce(F.sum(count), F.lit(0)).alias("_total"))
-    hot = facts.join(F.broadcast(total), F.col(count) * HOT_SHARE > F.col("_total"), "left_semi").select(F.col(key).alias("_hot"))
-    slices = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(HOT_SLICES - 1))).otherwise(F.array(F.lit(0)))
+    facts = checkpointed(facts)
+    told = facts.agg(F.sum(count).alias("total"), F.max(count).alias("most")).first()
+    if (told.most or 0) * HOT_SHARE <= (told.total or 0):
+        return rows.join(facts.drop(count), key, "left")
+    values = [c for c in facts.columns if c not in (key, count)]
+    few = facts.where(F.col(count) * HOT_SHARE > F.lit(told.total)).select(F.col(key).alias("_hot"), *(F.col(c).alias(f"_hot_{c}") for c in values))
     others = [c for c in rows.columns if c != key]
+    hot = F.col("_hot").isNotNull()
     spread = F.pmod(F.xxhash64(*others), F.lit(HOT_SLICES)).cast("int") if others else F.lit(0)
-    left = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_slice", F.when(F.col("_hot").isNotNull(), spread).otherwise(0)).drop("_hot")
-    right = facts.drop(count).join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_slice", F.explode(slices)).drop("_hot")
-    return left.join(right, [key, "_slice"], "left").drop("_slice")
+    left = rows.join(F.broadcast(few), F.col(key) == F.col("_hot"), "left").withColumn("_slice", F.when(hot, spread).otherwise(0))
+    met = left.join(facts.drop(count).withColumn("_slice", F.lit(0)), [key, "_slice"], "left")
+    return met.select(key, *others, *(F.when(hot, F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c) for c in values))
 
 
 def least_ids(rows: DataFrame, key: str, number: int, most: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -29,6 +30,8 @@ PAIRS, SHINGLES = 1 << 16, 1 << 15
 SETS, SIEVE = 4096, 1 << 23
 #: The share of bits in which two sets at Jaccard 0.8 differ on average, and the chance at which tables may miss such a pair.
 EXPECTED, MISSED = 78 / 512, 0.001
+#: Rows of a bucket on average at most, slices that are joined to one key at most, and places that a table of longer fingerprints samples.
+BUCKET, MOST_SLICES, PLACES = 512, 4, 12
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -73,21 +76,26 @@ def fingerprint(hashes: np.ndarray, bits: int = 64) -> np.ndarray:
 def tables(bits: int, radius: int, rows: int) -> list[list[int]]:
     """The bit places of each candidate table: two fingerprints in one bucket of any table are compared.
 
-    Within 64 bits and a small radius the tables are radius + 1 slices of all bits; of
-    two fingerprints that differ in at most radius bits, one slice at least is equal,
-    so no pair is missed. For longer fingerprints a table samples places (a fixed
-    stride walk): as many as tell `rows` fingerprints apart, 12 at least; and there
-    are so many tables that a pair at the distance expected of Jaccard 0.8 (EXPECTED
-    of the bits) is in no bucket together with a chance of MISSED.
+    64 bits are cut into radius + m slices, and each choice of m slices is a table. Two
+    fingerprints that differ in at most radius bits are equal in m slices at least, so
+    no pair is missed, whatever m is; m grows until `rows` fingerprints fill buckets of
+    at most BUCKET on average, which keeps the comparisons in proportion to the rows.
+
+    For longer fingerprints a table samples PLACES places; there are so many tables
+    that a pair at the distance expected of Jaccard 0.8 (EXPECTED of the bits) is in no
+    bucket together with a chance of MISSED. They don't depend on the rows.
     """
     if bits == 64:
-        edges = [round(i * bits / (radius + 1)) for i in range(radius + 2)]
-        return [list(range(a, b)) for a, b in zip(edges, edges[1:])]
-    places = min(48, max(12, math.ceil(math.log2(max(2, rows))) - 12))
-    equal = (1 - EXPECTED) ** places
+        for m in range(1, MOST_SLICES + 1):
+            edges = [round(i * bits / (radius + m)) for i in range(radius + m + 1)]
+            slices = [list(range(a, b)) for a, b in zip(edges, edges[1:])]
+            if rows <= BUCKET << (m * bits // (radius + m)):
+                break
+        return [sum(chosen, []) for chosen in itertools.combinations(slices, m)]
+    equal = (1 - EXPECTED) ** PLACES
     number = math.ceil(math.log(MISSED) / math.log(1 - equal))
     order = np.random.RandomState(SEED)
-    return [sorted(order.choice(bits, places, replace=False).tolist()) for _ in range(number)]
+    return [sorted(order.choice(bits, PLACES, replace=False).tolist()) for _ in range(number)]
 
 
 def within(planes: np.ndarray, prints: np.ndarray, left: np.ndarray, word: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -265,7 +273,8 @@ def link_prints(prints: DataFrame, bits: int, radius: int) -> DataFrame:
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, block).alias("low"), F.greatest(o, block).alias("high"), F.when(o == block, 0).when(block < o, 1).otherwise(2).alias("side")))
     )
     rows = rows.select("slot", "key", "print", F.explode(pairs).alias("p")).select("slot", "key", "p.low", "p.high", "p.side", "print")
-    rows = rows.repartition("slot", "key", "low", "high").sortWithinPartitions("slot", "key", "low", "high", "side")
+    # Sorted by print as well: the least one of a bucket is where its edges meet, the same in all tables.
+    rows = rows.repartition("slot", "key", "low", "high").sortWithinPartitions("slot", "key", "low", "high", "print")
 
     def compare(batches):
         for table in batched(batches, 4):
@@ -282,31 +291,29 @@ def link_prints(prints: DataFrame, bits: int, radius: int) -> DataFrame:
     return rows.mapInArrow(compare, "a binary, b binary").distinct()
 
 
-def components(edges: DataFrame, low: str = "a", high: str = "b", rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, low: str = "a", high: str = "b") -> DataFrame:
     """(node, root): the least node of each node's component, by turns of large-star and small-star.
 
     Each turn joins the edges with each node's least neighbour, a partial sum by node;
-    the edges of a node with many are dealt out in slices. Edges are written to the
-    checkpoint folder each round, so lineage stays short.
+    attach() keeps the edges of a node with many from meeting in one task. Each step is
+    written to the checkpoint folder, so plans and lineage stay short. It ends when
+    every component is a star: that is, when each node with a smaller neighbour has no
+    other one.
     """
-    pairs = checkpointed(edges.select(F.greatest(low, high).alias("u"), F.least(low, high).alias("v")).where("u != v").distinct())
-    before = None
-    for _ in range(rounds):
-        # large-star: what is larger than a node goes to the node's least neighbour
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
-        large = attach(both.where("v > u"), least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        # small-star: what is smaller than a node, and the node, go to its least neighbour
+    pairs = checkpointed(edges.select(F.greatest(low, high).alias("u"), F.least(low, high).alias("v")).where("u <> v").distinct())
+    while True:
+        ends = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+        least = pairs.select(ends.alias("e")).groupBy("e.u").agg(F.min("e.v").alias("m"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("e.v") < F.col("e.u")).alias("smaller"))
+        least = checkpointed(least)
+        if least.where("smaller > 0 and n > 1").isEmpty():
+            return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        # large-star: what is larger than a node goes to the least of the node and its neighbours
+        least = least.select(F.col("u").alias("v"), F.least("u", "m").alias("m"), F.greatest(F.col("n") - F.col("smaller"), F.lit(0)).alias("n"))
+        large = checkpointed(attach(pairs, least, "v", "n").select("u", F.col("m").alias("v")).distinct())
+        # small-star: what is smaller than a node, and the node, go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = attach(large, least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        pairs = checkpointed(small)
-        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        met = attach(large, least, "u", "n").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        pairs = checkpointed(met.where("u <> v").distinct())
 
 
 def groups(docs: DataFrame, words: int = 4, bits: int = 64, radius: int = 4, id_column: str = "doc_id") -> DataFrame:
