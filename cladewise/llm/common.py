@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder as Parquet and read back; discard() deletes it.
+
+    A checkpoint keeps the size that its plan was guessed at. Over the turns of an
+    iteration these guesses multiply to numbers of millions of digits; files tell their
+    true size.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what written() wrote; no plan may read it any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.folder)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def attach(rows: DataFrame, facts: DataFrame, key: str, count: str) -> DataFrame:
     """rows left-joined with facts, one row for each key, of which count is its number of rows.
 
@@ -51,7 +73,7 @@ def attach(rows: DataFrame, facts: DataFrame, key: str, count: str) -> DataFrame
     their rows are dealt out over HOT_SLICES slices of the join with the others, so no
     task gets all rows of a key. Without a hot key the join is the plain one.
     """
-    facts = checkpointed(facts)
+    facts = written(facts)
     told = facts.agg(F.sum(count).alias("total"), F.max(count).alias("most")).first()
     if (told.most or 0) * HOT_SHARE <= (told.total or 0):
         return rows.join(facts.drop(count), key, "left")

@@ -14,7 +14,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import attach, checkpointed, pick
+from .common import attach, checkpointed, discard, pick, written
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -300,20 +300,23 @@ def components(edges: DataFrame, low: str = "a", high: str = "b") -> DataFrame:
     every component is a star: that is, when each node with a smaller neighbour has no
     other one.
     """
-    pairs = checkpointed(edges.select(F.greatest(low, high).alias("u"), F.least(low, high).alias("v")).where("u <> v").distinct())
+    pairs = written(edges.select(F.greatest(low, high).alias("u"), F.least(low, high).alias("v")).where("u <> v").distinct())
     while True:
         ends = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
         least = pairs.select(ends.alias("e")).groupBy("e.u").agg(F.min("e.v").alias("m"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("e.v") < F.col("e.u")).alias("smaller"))
-        least = checkpointed(least)
+        least = written(least)
         if least.where("smaller > 0 and n > 1").isEmpty():
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
         # large-star: what is larger than a node goes to the least of the node and its neighbours
-        least = least.select(F.col("u").alias("v"), F.least("u", "m").alias("m"), F.greatest(F.col("n") - F.col("smaller"), F.lit(0)).alias("n"))
-        large = checkpointed(attach(pairs, least, "v", "n").select("u", F.col("m").alias("v")).distinct())
+        centre = least.select(F.col("u").alias("v"), F.least("u", "m").alias("m"), (F.col("n") - F.col("smaller")).alias("n"))
+        large = written(attach(pairs, centre, "v", "n").select("u", F.col("m").alias("v")).distinct())
         # small-star: what is smaller than a node, and the node, go to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        met = attach(large, least, "u", "n").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        pairs = checkpointed(met.where("u <> v").distinct())
+        centre = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        met = attach(large, centre, "u", "n").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        after = written(met.where("u <> v").distinct())
+        for done in (pairs, least, large):
+            discard(done)
+        pairs = after
 
 
 def groups(docs: DataFrame, words: int = 4, bits: int = 64, radius: int = 4, id_column: str = "doc_id") -> DataFrame:
