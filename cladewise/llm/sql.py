@@ -29,13 +29,9 @@ def _spans(pattern: str, kind: int, kept: str = "true") -> str:
     return f"(SELECT list_transform(list_filter(range(1, len(whole) + 1), lambda i: {kept}), lambda i: {span}) FROM (SELECT {gaps} AS gaps, {whole} AS whole, regexp_extract_all(text, {p}, {2 if kind == 0 else 0}) AS value))"
 
 
-def _cells(spans: str) -> str:
-    return f"list_distinct(list_transform({spans}, lambda s: s['start'] // {secrets.SCOPE}))"
-
-
 def _near(*others: str) -> str:
-    cell = f"(s['start'] // {secrets.SCOPE})"
-    return "(" + " OR ".join(f"list_contains({o}, {cell} + {d})" for o in others for d in (-1, 0, 1)) + ")"
+    """Another part with at most SCOPE characters between."""
+    return "(" + " OR ".join(f"len(list_filter({o}, lambda o: o['start'] - s['end'] <= {secrets.SCOPE} AND s['start'] - o['end'] <= {secrets.SCOPE})) > 0" for o in others) + ")"
 
 
 def _shown(spans: str) -> str:
@@ -50,8 +46,8 @@ def secret_scans() -> str:
     weak_secret = _spans("[A-Za-z0-9+/=_-]+", 4, f"regexp_full_match(whole[i], '[A-Za-z0-9+/_-]{{20,}}=*') AND {shape}")
     parts = {"a": _spans(secrets.ASSIGN, 0, "length(value[i]) >= 6"), "k": _spans(secrets.ACCESS, 1), "h": _spans(secrets.HEX, 2), "wi": weak_id, "ws": weak_secret, "e": _spans(secrets.ENDPOINT, 5)}
     found = "SELECT doc_id, " + ", ".join(f"{x} AS {n}" for n, x in parts.items()) + " FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)"
-    cells = f"SELECT *, list_sort(list_concat(a, k, h)) AS base, {_cells('list_concat(k, wi)')} AS ids, {_cells('list_concat(a, h, ws)')} AS secs, {_cells('e')} AS ends FROM ({found})"
+    roles = f"SELECT *, list_sort(list_concat(a, k, h)) AS base, list_concat(k, wi) AS ids, list_concat(a, h, ws) AS secs, e AS ends FROM ({found})"
     free = "len(list_filter(base, lambda b: b['start'] < s['end'] AND s['start'] < b['end'])) = 0"
     kept = [f"list_filter({c}, lambda s: {_near(*o)} AND {free})" for c, o in (("wi", ("secs", "ends")), ("ws", ("ids", "ends")), ("e", ("ids", "secs")))]
     number = ", ".join(f"CAST(len({c}) AS BIGINT) AS n_{n}" for c, n in (("a", "assign"), ("k", "access"), ("h", "hex")))
-    return f"SELECT doc_id, {number}, sha256({_shown('base')}) AS base_sha256, {_shown(f'list_sort(list_concat(base, {kept[0]}, {kept[1]}, {kept[2]}))')} AS spans FROM ({cells})"
+    return f"SELECT doc_id, {number}, sha256({_shown('base')}) AS base_sha256, {_shown(f'list_sort(list_concat(base, {kept[0]}, {kept[1]}, {kept[2]}))')} AS spans FROM ({roles})"
