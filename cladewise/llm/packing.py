@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import math
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -12,13 +15,13 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import pick
+from .common import checkpointed, pick
 from .pieces import CACHE, Splitter
 
-#: Documents that are packed together; more would save less than a sequence in a thousand.
+#: Pieces that are packed together, on average; more would save less than a sequence in a thousand.
 GROUP = 16_384
-#: Partial solutions looked at for each sequence of the best-fit solution.
-EFFORT = 6
+#: Lengths that the search may try for each piece of a group, and fillings that it looks at ahead to take the fullest first.
+EFFORT, AHEAD = 48, 8
 
 
 class Ids:
@@ -103,11 +106,21 @@ def fewest(counts: dict[int, int], size: int) -> int:
     return best
 
 
+def smeared(bits: int, width: int) -> int:
+    """The bits, each also set at the `width` places above it."""
+    done = 0
+    while done < width:
+        more = min(done + 1, width - done)
+        bits |= bits << more
+        done += more
+    return bits
+
+
 class Completion:
-    """Search over the bins that complete the longest length left."""
+    """Search over the bins that complete the longest length left; `steps` is how many lengths may still be tried."""
 
-    def __init__(self, counts: dict[int, int], size: int):
-        self.size, self.counts = size, dict(counts)
+    def __init__(self, counts: dict[int, int], size: int, steps: int):
+        self.size, self.counts, self.steps = size, dict(counts), steps
         self.there = sum(1 << x for x in counts)
         self.turned = sum(1 << (size - x) for x in counts)
 
@@ -141,89 +154,144 @@ class Completion:
             hit ^= 1 << a
         return ()
 
-    def fillings(self, room: int) -> list[tuple[int, ...]]:
-        """Fillings of room that no other one dominates, least waste first.
+    def fullest(self, room: int) -> Iterator[tuple[int, ...]]:
+        """Fillings of two or three lengths, one for each longest length, fullest first, that fill more than any length alone."""
+        for total in range(room, self.upto(room), -1):
+            if found := self.pair(total):
+                yield found
+            a = self.upto(total)
+            while a and self.steps > 0:
+                self.steps -= 1
+                self.take(a)
+                found = self.pair(total - a)
+                self.give(a)
+                if found:
+                    yield tuple(sorted((a, *found), reverse=True))
+                a = self.upto(a - 1)
+
+    def maximal(self, room: int) -> Iterator[tuple[int, ...]]:
+        """All fillings beside which no length left has room, the longest lengths first; all is given back at each."""
+        chosen: list[int] = []
+        left = most = room
+        while self.steps > 0:
+            self.steps -= 1
+            if a := self.upto(min(most, left)):
+                self.take(a)
+                chosen.append(a)
+                left, most = left - a, a
+                continue
+            if not self.upto(left):
+                for x in chosen:
+                    self.give(x)
+                yield tuple(chosen)
+                for x in chosen:
+                    self.take(x)
+            if not chosen:
+                return
+            a = chosen.pop()
+            self.give(a)
+            left, most = left + a, a - 1
+        for x in chosen:
+            self.give(x)
+
+    def dominated(self, filling: tuple[int, ...], room: int) -> bool:
+        """Whether a length left over could stand for some of the filling's lengths (or for none) and fill as much or more.
+
+        One that stands for a single length must be longer. Such a filling needs no
+        look: what it leaves could take the place of what the other one leaves.
+        """
+        spare = room - sum(filling)
+        one, more = 0, 1  # sums of one length; of none, two or more
+        for x in filling:
+            self.take(x)
+        for x in filling:
+            more |= (more ^ 1) << x | one << x
+            one |= 1 << x
+        hit = smeared(more, spare) & ~1 & self.there
+        if spare:
+            hit |= smeared(one << 1, spare - 1) & self.there
+        for x in filling:
+            self.give(x)
+        return hit != 0
+
+    def fillings(self, room: int) -> Iterator[tuple[int, ...]]:
+        """All fillings of room that no other one dominates, found as they are asked for.
 
-        A filling is dominated if its lengths fit into the lengths of another one;
-        so one length that fills room alone leaves no other worth a look, and a pair
-        or more must beat the longest single length.
+        A filling is dominated if its lengths fit into the lengths of another one; so one
+        length that fills room alone leaves no other worth a look.
         """
         one = self.upto(room)
         if one in (room, 0):
-            return [(one,) if one else ()]
-        found = [(one,)]
-        if exact := self.pair(room):
-            found.append(exact)
-        a, tries = one, 0
-        while a and tries < 24:
-            tries += 1
-            self.take(a)
-            rest = room - a
-            if rest and (exact := self.pair(rest)):
-                found.append((a, *exact))
-            filled, taken = [a], []
-            while rest > 0 and (b := self.upto(rest)):
-                self.take(b)
-                taken.append(b)
-                rest -= b
-            filled += taken
-            for b in taken:
-                self.give(b)
-            self.give(a)
-            if sum(filled) > one:
-                found.append(tuple(sorted(filled, reverse=True)))
-            if len(found) > 3 and sum(found[-1]) == room:
-                break
-            a = self.upto(a - 1)
-        found = [*dict.fromkeys(found)]
-        return sorted(found, key=lambda f: (room - sum(f), len(f), tuple(-x for x in f)))[:8]
+            yield (one,) if one else ()
+            return
+        met = {None}
+        for filling in itertools.chain.from_iterable(itertools.zip_longest(self.fullest(room), self.maximal(room))):  # by turns
+            if filling not in met and not self.dominated(filling, room):
+                met.add(filling)
+                yield filling
+
+
+class Level:
+    """A bin in the making: its longest length, the waste of the bins before it, the filling taken, and those untried."""
+
+    def __init__(self, state: Completion, waste: int):
+        self.longest, self.waste, self.taken = state.there.bit_length() - 1, waste, None
+        state.take(self.longest)
+        self.room = state.size - self.longest
+        self.untried, self.ahead = state.fillings(self.room), []
+
+    def next(self) -> tuple[int, ...] | None:
+        """The fullest of the AHEAD next fillings, or the first that leaves no room; None after the last."""
+        while len(self.ahead) < AHEAD and not (self.ahead and not self.ahead[0][0]) and (filling := next(self.untried, None)) is not None:
+            heapq.heappush(self.ahead, (self.room - sum(filling), len(filling), tuple(-x for x in filling)))
+        return tuple(-x for x in heapq.heappop(self.ahead)[2]) if self.ahead else None
 
 
 def complete_bins(counts: dict[int, int], size: int, effort: int = EFFORT) -> list[list[int]]:
     """Bins for `counts` lengths: the best-fit solution, or a smaller one that bin completion finds.
 
-    Depth first, each level completes the longest length left. The waste of all bins
-    so far may not exceed what a solution of one bin fewer than the incumbent could
-    waste; otherwise the branch is pruned. A solution becomes the new incumbent. The
-    search ends at the lower bound, when all is searched, or after effort x bins steps.
+    Depth first, each level completes the longest length left, by each filling that no
+    other one dominates, fuller ones first. The waste of all bins so far may not exceed
+    what a solution of one bin fewer than the incumbent could waste; otherwise the
+    branch is pruned. A solution becomes the new incumbent. The search ends at the lower
+    bound, when all is searched, or when `effort` lengths for each piece are tried; then
+    best fit completes the bins of the branch at hand, and the smaller solution stands.
     """
     incumbent = best_fit(counts, size)
     least, total = fewest(counts, size), sum(x * n for x, n in counts.items())
     if len(incumbent) <= least:
         return incumbent
-    state, steps = Completion(counts, size), effort * len(incumbent) + 1000
-    stack: list[list] = []  # longest length, untried fillings, filling taken, waste before
-
-    def opened(waste: int) -> list:
-        longest = state.there.bit_length() - 1
-        state.take(longest)
-        return [longest, state.fillings(size - longest)[::-1], None, waste]
-
-    stack.append(opened(0))
-    while stack and steps > 0:
+    state = Completion(counts, size, effort * sum(counts.values()) + 1000)
+    stack = [Level(state, 0)]
+    while stack:
         level = stack[-1]
-        if level[2] is not None:
-            for x in level[2]:
+        if state.steps <= 0:
+            made = [[x.longest, *x.taken] for x in stack[:-1]]
+            state.give(level.longest)
+            for x in level.taken or ():
                 state.give(x)
-            level[2] = None
+            made += best_fit({x: n for x, n in state.counts.items() if n}, size)
+            return min(made, incumbent, key=len)
+        for x in level.taken or ():
+            state.give(x)
+        level.taken = None
         spare = (len(incumbent) - 1) * size - total
-        while level[1]:
-            filling = level[1].pop()
-            waste = level[3] + size - level[0] - sum(filling)
+        while (filling := level.next()) is not None:
+            state.steps -= 1
+            waste = level.waste + level.room - sum(filling)
             if waste <= spare:
                 break
-        else:
-            state.give(level[0])
+        if filling is None:
+            state.give(level.longest)
             stack.pop()
             continue
-        steps -= 1
-        level[2] = filling
+        level.taken = filling
         for x in filling:
             state.take(x)
         if state.there:
-            stack.append(opened(waste))
+            stack.append(Level(state, waste))
         else:
-            incumbent = [[x[0], *x[2]] for x in stack]
+            incumbent = [[x.longest, *x.taken] for x in stack]
             if len(incumbent) <= least:
                 break
     return incumbent
@@ -271,16 +339,17 @@ def pieces_of(docs: DataFrame, path: str, size: int, end_id: int = 0, with_ids:
 def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """All documents as pieces of at most size ids, placed in as few sequences as bin completion finds.
 
-    Groups of about GROUP documents, dealt by hash, are packed each by itself, so a
-    task holds a few numbers for each of a bounded number of pieces, however many
-    documents there are; with_ids adds the ids themselves (binary, little-endian
-    32-bit). A null text counts as empty and gives one piece, the end id alone. Null
-    doc_ids and repeated rows are packed like any other row; an empty table gives no
-    rows; other columns are left out.
+    Groups of about GROUP pieces, dealt by hash, are packed each by itself, so a task
+    holds a few numbers for each of a bounded number of pieces, however many or long the
+    documents are; with_ids adds the ids themselves (binary, little-endian 32-bit), at
+    most GROUP x size of them on average. The pieces are written to the shared folder
+    first, so a task that is run again finds the same ones. A null text counts as empty
+    and gives one piece, the end id alone. Null doc_ids and repeated rows are packed like
+    any other row; an empty table gives no rows; other columns are left out.
     """
-    groups = max(1, math.ceil(docs.count() / GROUP))
-    pieces = pieces_of(docs, path, size, end_id, with_ids)
-    pieces = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "ids_crc32", "row"), F.lit(groups))).drop("row")
+    pieces = checkpointed(pieces_of(docs, path, size, end_id, with_ids))
+    groups = max(1, math.ceil(pieces.count() / GROUP))
+    pieces = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "row"), F.lit(groups))).drop("row")
     kept = [c for c in pieces.columns if c != "_group"]
     schema = T.StructType([*(pieces.schema[c] for c in kept), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
