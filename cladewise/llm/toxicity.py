@@ -141,8 +141,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], sampl
     """A chain fitted on at most `sample` labelled rows, those whose ids hash lowest.
 
     Rows without id, text or any label take no part and leave their place in the sample
-    to others; of a document labelled twice both labels count, equal ones once. Without a labelled row of both classes the chain says 0.5 at most,
-    so it rejects nothing.
+    to others; of a document labelled twice both labels count, equal ones once. Of
+    repeated documents each row counts, up to `sample` rows in all, so no more than that
+    comes to the driver. Without a labelled row of both classes the chain says 0.5 at
+    most, so it rejects nothing.
     """
     texts = pick(docs, "doc_id", "text").where("text is not null")
     told = pick(labels, "doc_id", *categories).where(F.col("doc_id").isNotNull() & F.coalesce(*categories).isNotNull()).distinct()
@@ -157,7 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], sampl
 
     joined = texts.join(F.broadcast(told), "doc_id")  # at most `sample` rows
     kinds = [(f.name, f.dataType.simpleString()) for f in joined.schema if f.name != "text"]
-    got = joined.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*kinds, ("places", "binary")])).toPandas()
+    found = joined.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*kinds, ("places", "binary")]))
+    got = found.orderBy(F.xxhash64("doc_id"), *categories, "places").limit(sample).toPandas()
     got = got.sort_values(["doc_id", *categories]).reset_index(drop=True)
     rows = [np.frombuffer(x, np.uint32) for x in got["places"]]
     folds = np.array([zlib.crc32(str(x).encode()) % FOLDS for x in got["doc_id"]], int)
