@@ -9,10 +9,12 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .vectors import asked, checkpointed, distinct, matrix, ranked, valid
+from .vectors import asked, by_length, checkpointed, distinct, matrix, meet, others, ranked, told, whole
 
-#: Vectors of a shard, each with a graph of its own; queries of a chunk.
-SHARD, CHUNK = 6_000, 4_096
+#: Vectors of a shard, each with a graph of its own. Above MOST_SHARDS shards they grow, up to LARGEST vectors.
+SHARD, MOST_SHARDS, LARGEST = 6_000, 1_000, 200_000
+#: Queries of a chunk, which meets its own copy of a graph.
+CHUNK = 65_536
 #: Edges of a node, width of the beam when building and when asking, and how much nearer a kept neighbour must be to drop another one.
 DEGREE, BUILD_BEAM, BEAM, RELAXED = 32, 48, 96, 1.2
 #: Nodes that are put into the graph together.
@@ -120,6 +122,11 @@ def build(unit: np.ndarray) -> tuple[np.ndarray, int]:
     return edges, start
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest components to about 1, so that no square over- or underflows."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1, initial=0))[1][:, None])
+
+
 def cosines(v: np.ndarray, norms: np.ndarray, q: np.ndarray) -> np.ndarray:
     """In double precision, each by the same order of additions."""
     return (v * q).sum(1) / (norms * math.sqrt((q * q).sum()))
@@ -128,56 +135,73 @@ def cosines(v: np.ndarray, norms: np.ndarray, q: np.ndarray) -> np.ndarray:
 def search(vectors: DataFrame, most: int = 5, every: int = 50) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query, a row whose vec_id is divisible by `every`: the nearest by cosine found among all other rows.
 
-    Distinct vectors are dealt by hash to shards of about SHARD; each shard gets a graph
-    over all its vectors, written to the checkpoint folder. Each chunk of queries
-    searches each shard with a beam of BEAM, and the shards' best are merged; scores are
-    computed anew from the original vectors. Zero vectors take no part; nulls, lengths
-    and repeated ids: see vectors.valid and vectors.asked; other columns are left out;
-    an empty table gives no rows. Equal vectors are one node with its smallest ids, so
-    any number of copies is found.
+    Distinct vectors are dealt by hash to shards; each shard gets a graph over all its
+    vectors, written to the checkpoint folder. The queries stream by each shard's graph,
+    which they search with a beam of BEAM, and the shards' best are merged; scores are
+    computed anew from the original vectors, scaled by powers of two, so that any finite
+    magnitude will do.
+
+    Equal vectors are one node with its smallest ids, so any number of copies is found.
+    Rows that share an id are queries and candidates each by itself; a row is left out
+    only of its own candidates. Vectors of each length are searched by themselves. Zero,
+    null, empty and non-finite vectors and rows without id take no part; other columns
+    are left out; an empty table gives no rows.
     """
-    rows = checkpointed(valid(vectors, zero=False))
+    return by_length(checkpointed(whole(vectors, zero=False)), lambda rows: search_rows(rows, most, every))
+
+
+def search_rows(rows: DataFrame, most: int, every: int) -> DataFrame:
+    """search() over rows (vec_id, v) of one length."""
     classes = distinct(rows, most + 1)
-    queries = asked(rows, every)
-    shards = max(1, math.ceil(rows.select("v").distinct().count() / SHARD))
+    queries = checkpointed(asked(rows, every))
+    count = rows.select("v").distinct().count()
+    shards = max(1, math.ceil(count / min(LARGEST, max(SHARD, count / MOST_SHARDS))))
     chunks = max(1, math.ceil(queries.count() / CHUNK))
     classes = classes.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
+    columns = "shard int, chunk int, asks boolean, v binary, ids binary, ends binary, edges binary, start int, query_id long, which string"
+    names = [c.split()[0] for c in columns.split(", ")]
 
     def make(table: pa.Table) -> pa.Table:
         table = table.sort_by("v")
         v = matrix(table["v"])
-        unit = (v / np.sqrt((v * v).sum(1))[:, None]).astype(np.float32)
-        edges, start = build(unit)
+        near = scaled(v)
+        edges, start = build((near / np.sqrt((near * near).sum(1))[:, None]).astype(np.float32))
         flat = table["ids"].combine_chunks()
         return pa.table({"shard": pa.array([table["shard"][0].as_py()], pa.int32()), "v": pa.array([v.astype("<f8").tobytes()], pa.binary()), "ids": pa.array([flat.values.to_numpy().astype("<i8").tobytes()], pa.binary()), "ends": pa.array([flat.offsets.to_numpy()[1:].astype("<i4").tobytes()], pa.binary()), "edges": pa.array([edges.astype("<i4").tobytes()], pa.binary()), "start": pa.array([start], pa.int32())})
 
     graphs = checkpointed(classes.groupBy("shard").applyInArrow(make, "shard int, v binary, ids binary, ends binary, edges binary, start int"))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    graphs = graphs.withColumn("chunk", each(chunks))
-    asking = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk")).withColumn("shard", each(shards))
-
-    def look(graph: pa.Table, asking: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-        if graph.num_rows and asking.num_rows:
-            g = {n: graph[n][0].as_py() for n in graph.column_names}
-            ends = np.frombuffer(g["ends"], "<i4")
-            begins = np.r_[0, ends[:-1]] if len(ends) else ends
-            v = np.frombuffer(g["v"], "<f8").reshape(len(ends), -1)
-            ids, edges = np.frombuffer(g["ids"], "<i8"), np.frombuffer(g["edges"], "<i4").reshape(len(ends), -1).astype(np.int64)
-            norms = np.sqrt((v * v).sum(1))
-            unit = (v / norms[:, None]).astype(np.float32)
-            names, q = asking["query_id"].to_pylist(), matrix(asking["q"])
+    graphs = graphs.withColumn("chunk", each(chunks)).withColumns({"asks": F.lit(False), "query_id": F.lit(None).cast("long"), "which": F.lit(None).cast("string")}).select(*names)
+    none = {c: F.lit(None).cast("binary") for c in ("ids", "ends", "edges")} | {"start": F.lit(None).cast("int")}
+    asking = queries.select("v", F.col("vec_id").alias("query_id"), "which", F.pmod(F.xxhash64("vec_id", "which"), F.lit(chunks)).cast("int").alias("chunk"), F.lit(True).alias("asks")).withColumn("shard", each(shards)).withColumns(none).select(*names)
+
+    def look(graph: pa.Table):
+        g = {n: graph[n][0].as_py() for n in ("v", "ids", "ends", "edges", "start")}
+        ends = np.frombuffer(g["ends"], "<i4")
+        begins = np.r_[0, ends[:-1]]
+        raw = np.frombuffer(g["v"], "<f8").reshape(len(ends), -1)
+        ids, edges = np.frombuffer(g["ids"], "<i8"), np.frombuffer(g["edges"], "<i4").reshape(len(ends), -1).astype(np.int64)
+        v = scaled(raw)
+        norms = np.sqrt((v * v).sum(1))
+        unit = (v / norms[:, None]).astype(np.float32)
+
+        def search(asking: pa.Table) -> pa.Table:
+            out: dict[str, list] = {"query_id": [], "which": [], "vec_id": [], "score": []}
+            own_ids, which, own = asking["query_id"].to_pylist(), asking["which"].to_pylist(), matrix(asking["v"])
+            q = scaled(own)
             wanted = (q / np.sqrt((q * q).sum(1))[:, None]).astype(np.float32)
-            for at in range(0, len(names), TOGETHER):
+            for at in range(0, len(q), TOGETHER):
                 nodes, _ = beam(unit, edges, g["start"], wanted[at : at + TOGETHER], max(BEAM, most + 1))
-                for own, x, near in zip(names[at : at + TOGETHER], q[at : at + TOGETHER], nodes):
+                for i, near in enumerate(nodes, at):
                     near = near[near >= 0]
-                    found = [(int(i), s) for k, s in zip(near, cosines(v[near], norms[near], x).tolist()) for i in ids[begins[k] : ends[k]] if i != own]
-                    for i, s in sorted(found, key=lambda y: (-y[1], y[0]))[:most]:
-                        for name, value in zip(out, (own, i, s)):
+                    found = [(int(j), s) for k, s in zip(near, cosines(v[near], norms[near], q[i]).tolist()) for j in others(ids[begins[k] : ends[k]].tolist(), own_ids[i], bool((raw[k] == own[i]).all()))]
+                    for j, s in sorted(found, key=lambda y: (-y[1], y[0]))[:most]:
+                        for name, value in zip(out, (own_ids[i], which[i], j, s)):
                             out[name].append(value)
-        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.float64())
+            return pa.table({n: pa.array(x, k) for (n, x), k in zip(out.items(), kinds)})
+
+        return search
 
-    key = ["shard", "chunk"]
-    found = graphs.groupBy(*key).cogroup(asking.groupBy(*key)).applyInArrow(look, "query_id long, vec_id long, score double")
-    return ranked(found, most)
+    found = meet(graphs, asking, ["shard", "chunk"], look, "query_id long, which string, vec_id long, score double")
+    return told(ranked(found, most), queries)

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cladewise.llm import common, packing, queries, secrets, simhash, sql, toxicity
+from cladewise.llm import common, graph, packing, queries, secrets, simhash, sql, topk, toxicity
 
 from ..oracle import database
 from .test_operators import SECRETS, jaccard, reached, rows_of, shingles
@@ -305,3 +305,63 @@ def test_many_spans_take_time_in_proportion(spark):
     took(100)
     few, many = took(5_000), took(20_000)
     assert all(b <= 4 * a for a, b in zip(few, many))
+
+
+# 3, 7
+
+
+def all_pairs(rows, every, most, score):
+    """Each query row against all other rows, by position."""
+    out = collections.Counter()
+    for a, (i, v) in enumerate(rows):
+        if i % every == 0:
+            near = sorted(((score(v, w), -j) for b, (j, w) in enumerate(rows) if a != b and len(v) == len(w)), reverse=True)[:most]
+            out.update((i, k + 1, -j, s) for k, (s, j) in enumerate(near))
+    return out
+
+
+@pytest.fixture(scope="module")
+def repeated_vectors():
+    rng = np.random.RandomState(6)
+    rows = [(i, [float(x) for x in rng.randint(-9, 9, 3)]) for i in [*range(40), 0, 0, 10, 10, 10]]
+    rows += [(10, rows[10][1])] * 2 + [(20, [1.0, 2.0]), (21, [1.0, -2.0]), (23, [3.0, 2.0])]
+    return [(i, v) for i, v in rows if any(v)]
+
+
+def test_repeated_ids_and_lengths(spark, repeated_vectors, monkeypatch):
+    for name, size in (("BLOCK", 8), ("CHUNK", 2)):
+        monkeypatch.setattr(topk, name, size)
+    monkeypatch.setattr(graph, "CHUNK", 2)
+    frame = spark.createDataFrame([(i, v, "x") for i, v in repeated_vectors], "vec_id long, embedding array<double>, EMBEDDING string")
+    got = collections.Counter(map(tuple, topk.search(frame, 5, 10).collect()))
+    assert got == all_pairs(repeated_vectors, 10, 5, lambda a, b: int(np.floor(256 * np.array(a)) @ np.floor(256 * np.array(b))))
+    cosine = lambda a, b: round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 9)
+    near = collections.Counter((r.query_id, r.rank, round(r.score, 9)) for r in graph.search(frame, 5, 10).collect())
+    want = collections.Counter()
+    for (i, k, _, s), n in all_pairs(repeated_vectors, 10, 5, cosine).items():
+        want[i, k, s] += n
+    assert near == want
+
+
+@pytest.mark.parametrize("size", [1e-200, 1e200, 1e-310])
+def test_cosines_of_any_magnitude(spark, size):
+    plain = [(i, [1.0, i / 7, -1.0 + i / 9]) for i in range(12)]
+    first, other = (graph.search(spark.createDataFrame([(i, [x * f for x in v]) for i, v in plain], "vec_id long, embedding array<double>"), 3, 4).collect() for f in (1.0, size))
+    assert [r[:3] for r in first] == [r[:3] for r in other] and len(other) == 9
+    assert all(abs(a.score - b.score) < 1e-9 for a, b in zip(first, other))
+
+
+def test_products_beyond_exact_doubles_are_an_error(spark):
+    frame = spark.createDataFrame([(i, [1e18, float(i)]) for i in range(4)], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="exact"):
+        topk.search(frame)
+
+
+def test_thousands_of_cells(spark, monkeypatch):
+    """64 pivots with 32 annuli each."""
+    monkeypatch.setattr(topk, "BLOCK", 2)
+    rng = np.random.RandomState(8)
+    rows = [(i, rng.randint(-50, 50, 3).astype(float).tolist()) for i in range(5000)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.Counter(map(tuple, topk.search(frame, 3, 1000, 1).collect()))
+    assert got == all_pairs(rows, 1000, 3, lambda a, b: int(np.dot(a, b)))
