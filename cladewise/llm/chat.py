@@ -5,14 +5,12 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
-from .common import checkpointed, pick
+from .common import checkpointed, discard, pick, written
 
 CALLS = "struct<content string, tool_calls array<struct<id string, name string, arguments string>>>"
 RESULT = "struct<tool_call_id string, content string>"
 #: Kinds of a schema's parameters, with the variant types that pass.
 KINDS = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|DECIMAL.*", "boolean": "BOOLEAN", "array": "ARRAY.*", "object": "OBJECT.*"}
-#: Rounds of ordering; a chain of calls longer than this is an error, not cut.
-ROUNDS = 200
 #: A reference to another call's result inside arguments.
 REFERENCE = r'"\$result:([^"\\]+)"'
 
@@ -49,28 +47,45 @@ def checked(calls: DataFrame) -> DataFrame:
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, id, level): 0 for calls that refer to no other call of their conversation, else one more than the highest they refer to; null in a cycle or behind one.
+    """(_c, id, level) of calls (_c, id, arguments), _c their conversation: 0 for calls that refer to no other call of it, else one more than the highest they refer to; null in a cycle or behind one.
 
-    Each round settles the calls all of whose references are settled, by joins on
-    (conv_id, id), so a long conversation is no task's own.
+    Calls with one reference are chains: pointers are doubled until each points to its
+    chain's head, in as many rounds as the logarithm of their number; what still moves
+    then is in a cycle. Calls with more references settle round by round, as soon as
+    all heads they refer to have; that ends when a round settles none. All by joins on
+    (_c, id), so a long conversation is no task's own.
     """
-    ids = calls.select("conv_id", "id").distinct()
-    told = calls.select("conv_id", "id", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("arguments", F.lit("")), F.lit(REFERENCE), F.lit(1)))).alias("to")).distinct()
-    needs = checkpointed(told.join(ids.select("conv_id", F.col("id").alias("to")), ["conv_id", "to"], "left_semi"))
+    ids = written(calls.select("_c", "id").distinct())
+    told = calls.select("_c", "id", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("arguments", F.lit("")), F.lit(REFERENCE), F.lit(1)))).alias("to")).distinct()
+    needs = written(told.join(ids.select("_c", F.col("id").alias("to")), ["_c", "to"], "left_semi"))
     if needs.isEmpty():
         return ids.withColumn("level", F.lit(0))
-    open_ = needs
-    settled = checkpointed(ids.join(needs, ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0)))
-    for _ in range(ROUNDS):
-        found = open_.join(settled.select("conv_id", F.col("id").alias("to"), F.col("level").alias("_l")), ["conv_id", "to"], "left")
-        fresh = checkpointed(found.groupBy("conv_id", "id").agg(F.max("_l").alias("_l"), F.count_if(F.col("_l").isNull()).alias("_wait")).where("_wait = 0").select("conv_id", "id", (F.col("_l") + 1).alias("level")))
-        if fresh.isEmpty():
+    number = written(needs.groupBy("_c", "id").agg(F.count(F.lit(1)).alias("n"), F.min("to").alias("to")))
+    jumps = written(number.where("n = 1").select("_c", "id", "to", F.lit(1).cast("long").alias("steps"), F.lit(True).alias("moves")))
+    for _ in range(max(1, jumps.count()).bit_length() + 1):
+        further = jumps.select("_c", F.col("id").alias("to"), F.col("to").alias("_to"), F.col("steps").alias("_steps"))
+        after = jumps.join(further, ["_c", "to"], "left")
+        after = written(after.select("_c", "id", F.coalesce("_to", "to").alias("to"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.col("_to").isNotNull().alias("moves")))
+        discard(jumps)
+        jumps = after
+        if jumps.where("moves").isEmpty():
             break
-        settled = checkpointed(settled.unionByName(fresh))
-        open_ = checkpointed(open_.join(fresh, ["conv_id", "id"], "left_anti"))
-    else:
-        raise ValueError(f"calls refer to one another over more than {ROUNDS} steps")
-    return ids.join(settled, ["conv_id", "id"], "left")
+    heads = jumps.select("_c", F.col("id").alias("to"), F.when(~F.col("moves"), F.col("to")).alias("head"), "steps", F.lit(True).alias("_chained"))
+    waiting = needs.join(number.where("n > 1").select("_c", "id"), ["_c", "id"], "left_semi").join(heads, ["_c", "to"], "left")
+    waiting = written(waiting.select("_c", "id", F.when(F.col("_chained"), F.col("head")).otherwise(F.col("to")).alias("to"), F.coalesce("steps", F.lit(0)).alias("steps")))
+    settled = written(ids.join(number, ["_c", "id"], "left_anti").select("_c", "id", F.lit(0).cast("long").alias("level")))
+    while True:
+        found = waiting.join(settled.select("_c", F.col("id").alias("to"), "level"), ["_c", "to"], "left")
+        ready = found.groupBy("_c", "id").agg(F.max(F.col("level") + F.col("steps")).alias("level"), F.count_if(F.col("level").isNull()).alias("open")).where("open = 0")
+        ready = written(ready.select("_c", "id", (F.col("level") + 1).alias("level")))
+        if ready.isEmpty():
+            break
+        more, rest = written(settled.unionByName(ready)), written(waiting.join(ready, ["_c", "id"], "left_anti"))
+        for done in (settled, waiting, ready):
+            discard(done)
+        settled, waiting = more, rest
+    chained = heads.where("head is not null").join(settled.select("_c", F.col("id").alias("head"), "level"), ["_c", "head"]).select("_c", F.col("to").alias("id"), (F.col("level") + F.col("steps")).alias("level"))
+    return ids.join(settled.unionByName(chained), ["_c", "id"], "left").withColumn("level", F.col("level").cast("int"))
 
 
 def format_chat(conversations: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -95,7 +110,8 @@ def format_chat(conversations: DataFrame, schemas: DataFrame) -> DataFrame:
     answers = said & (F.col("role") == "tool")
     rows = rows.withColumn("_calls", F.when(asks, F.from_json("text", CALLS))).withColumn("_result", F.when(answers, F.from_json("text", RESULT)))
     made = F.col("_calls.tool_calls")
-    key = F.xxhash64("conv_id", "turn", "role", "text")
+    key = F.sha2(F.to_json(F.struct("conv_id", "turn", "role", "text")), 256)  # null conv_ids and turns are left out there, so they differ from empty ones
+    own = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))  # a null conversation differs from an empty one
     calls = rows.where(F.size(made) > 0).select("conv_id", "turn", key.alias("_row"), F.posexplode(made).alias("pos", "call")).select("conv_id", "turn", "_row", "pos", F.coalesce("call.id", F.lit("")).alias("id"), F.coalesce("call.name", F.lit("")).alias("name"), canonical(F.col("call.arguments")).alias("arguments")).distinct()
     calls = checkpointed(calls)
     results = rows.where(F.col("_result.tool_call_id").isNotNull()).groupBy("conv_id", F.col("_result.tool_call_id").alias("id")).agg(F.min("turn").alias("result_turn"), F.count(F.lit(1)).alias("n_results"))
@@ -105,10 +121,10 @@ def format_chat(conversations: DataFrame, schemas: DataFrame) -> DataFrame:
     one = known.join(first.withColumnsRenamed({"conv_id": "_c", "id": "_i"}), F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("id") == F.col("_i")), "left").drop("_c", "_i")
     repeated = F.col("_first").isNotNull() & ~F.struct("turn", "pos").eqNullSafe(F.col("_first"))
     linked = one.withColumn("_again", repeated).join(results.withColumnsRenamed({"conv_id": "_c", "id": "_i"}), F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("id") == F.col("_i")) & ~repeated, "left").drop("_c", "_i")
-    depth = levels(calls.where("id <> ''").withColumn("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit(""))))
-    linked = linked.join(depth.withColumnsRenamed({"conv_id": "_c", "id": "_i"}), (F.coalesce(F.col("conv_id").cast("string"), F.lit("")) == F.col("_c")) & (F.col("id") == F.col("_i")), "left").drop("_c", "_i")
+    depth = levels(calls.where("id <> ''").select(own.alias("_c"), "id", "arguments"))
+    linked = linked.withColumn("_c", own).join(depth, ["_c", "id"], "left").drop("_c")
     more = F.array_compact(F.array(F.when(F.col("id") == "", F.lit("no id")), F.when(F.col("_again"), F.lit("repeated id")), F.when((F.col("id") != "") & F.col("level").isNull(), F.lit("cycle")), F.when(F.col("result_turn").isNull(), F.lit("no result")), F.when(F.col("result_turn") <= F.col("turn"), F.lit("result before call")), F.when(F.col("n_results") > 1, F.lit("more results"))))
-    call = F.struct(F.coalesce("level", F.lit(ROUNDS + 1)).alias("level"), "pos", F.concat(F.lit('{"arguments":'), F.coalesce("arguments", F.lit("null")), F.lit(","), F.substring(F.to_json(F.struct("id", "name", "result_turn")), 2, 1 << 30)).alias("json"), F.transform(F.concat("faults", more), lambda f: F.concat_ws(" ", "id", F.lit("-"), f)).alias("problems"), (F.size("faults") == 0).alias("valid"), F.col("result_turn").isNotNull().alias("linked"))
+    call = F.struct(F.coalesce("level", F.lit((1 << 31) - 1)).alias("level"), "pos", F.concat(F.lit('{"arguments":'), F.coalesce("arguments", F.lit("null")), F.lit(","), F.substring(F.to_json(F.struct("id", "name", "result_turn")), 2, 1 << 30)).alias("json"), F.transform(F.concat("faults", more), lambda f: F.concat_ws(" ", "id", F.lit("-"), f)).alias("problems"), (F.size("faults") == 0).alias("valid"), F.col("result_turn").isNotNull().alias("linked"))
     by_row = linked.groupBy("_row").agg(F.array_sort(F.collect_list(call)).alias("_made"))  # the calls of one text
     asked = calls.where("id <> ''").select("conv_id", "id").distinct()
     stray = results.join(asked.withColumnsRenamed({"conv_id": "_c", "id": "_i"}), F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("id") == F.col("_i")), "left_anti").select(F.col("conv_id").alias("_c"), F.col("id").alias("_i"), F.lit(True).alias("_stray"))
