@@ -18,9 +18,10 @@ NOTHING = bytes.fromhex("1f8b08000000000000ff0300" + "00" * 8)
 MEMBER = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 ENDING = b"\r\n\r\n"
-#: Unpacked bytes of one member at most.
-LARGEST = 1 << 30
-RECORDS_A_FILE = 10_000
+#: Unpacked bytes of one member at most: more than any row can hold, with its heads.
+LARGEST = (1 << 31) + (1 << 20)
+#: A file is closed when its members reach so many bytes.
+FILE_BYTES = 16 << 20
 NAME = "urn:page:"
 
 
@@ -132,11 +133,12 @@ def salvage(data: bytes):
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 1000) -> None:
-    """A gzip member for each page, in files of up to RECORDS_A_FILE records.
+    """A gzip member for each page, in files that are closed at FILE_BYTES.
 
     Of equal payloads of at least `least` bytes the largest page_id is the response and
-    the others revisit it. The rows of a frequent payload are spread over many tasks.
-    Null html is an empty payload; a page without id is told apart only by its place.
+    the others revisit it; of rows that share that id each one is a response. The rows
+    of a frequent payload are spread over many tasks. Null html is an empty payload; a
+    page without id is told apart only by its place; other columns are left out.
     """
     rows = pick(pages, "page_id", "url", "html").withColumn("html", F.coalesce("html", F.lit("")))
     rows = rows.withColumn("payload_digest", F.sha1("html")).withColumn("payload_bytes", F.octet_length("html").cast("long"))
@@ -146,23 +148,29 @@ def write_archives(pages: DataFrame, folder: str, least: int = 1000) -> None:
     told = known.select(F.col("page_id").cast("string").alias("name"), F.coalesce("url", F.lit("")).alias("url"), F.when(revisit, F.lit("")).otherwise(F.col("html")).cast("binary").alias("payload"), "payload_digest", "payload_bytes", F.when(revisit, F.col("_first").cast("string")).alias("refers_to"))
 
     def run(batches):
+        out, size_so_far = [], 0
         for batch in batches:
-            out = []
-            for name, url, payload, digest, size, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
+            for row in zip(*batch.columns):
+                name, url, payload, digest, size, refers_to = (x.as_py() for x in row)
                 url = re.sub(r"[\r\n]+", " ", url)
                 out.append(member(record("response" if refers_to is None else "revisit", name or "", url, digest, size, payload, refers_to)))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                size_so_far += len(out[-1])
+                if size_so_far >= FILE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([NOTHING.join(out)], pa.binary())], ["value"])
+                    out, size_so_far = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([NOTHING.join(out)], pa.binary())], ["value"])
 
     lines = told.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
     writer = lines.write.option("lineSep", NOTHING.decode("latin-1")).option("encoding", "ISO-8859-1").option("compression", "none")
-    writer.option("maxRecordsPerFile", RECORDS_A_FILE).mode("error").text(folder)
+    writer.option("maxRecordsPerFile", 1).mode("error").text(folder)
 
 
 RECORDS = T.StructType([T.StructField(n, t) for n, t in (("file", T.StringType()), ("start", T.LongType()), ("end", T.LongType()), ("lost", T.StringType()), ("name", T.StringType()), ("url", T.StringType()), ("record_type", T.StringType()), ("payload_digest", T.StringType()), ("payload_bytes", T.LongType()), ("refers_to", T.StringType()), ("payload", T.BinaryType()))])
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """A row for each record, and one for each gap with its reason in `lost` (null for records).
+def read_archives(spark: SparkSession, folder: str, strict: bool = False) -> DataFrame:
+    """A row for each record, and one for each gap with its reason in `lost` (null for records); `strict`: a gap is an error.
 
     `start` and `end` are places in the file. payload_bytes of a revisit are those that
     its head tells. Files that hold nothing give no rows.
@@ -174,6 +182,8 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
             for path, content in zip(batch.column(0), batch.column(1)):
                 path, out = path.as_py(), []
                 for what, start, end, x in salvage(content.as_py()):
+                    if what == "gap" and strict:
+                        raise ValueError(f"{path}: bytes {start} to {end} are no record: {x}")
                     if what == "gap":
                         out.append({"file": path, "start": start, "end": end, "lost": x})
                         continue
@@ -194,11 +204,11 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """Writes the archives to the shared folder and reads them: page_id, payload_bytes, payload_digest, record_type, refers_to, url, file, start, end."""
+    """Writes the archives to the shared folder and reads them, where a gap is an error: page_id, payload_bytes, payload_digest, record_type, refers_to, url, file, start, end."""
     spark = pages.sparkSession
     folder = f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     kind = pick(pages, "page_id").schema[0].dataType
     write_archives(pages, folder, least)
-    records = read_archives(spark, folder).where("lost is null")
+    records = read_archives(spark, folder, strict=True)
     number = lambda c: F.when(F.col(c) != "", F.col(c)).cast(kind)
     return records.select(number("name").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"), "url", "file", "start", "end")

@@ -1,7 +1,9 @@
 """What the operators promise beyond their queries: exactness at any width, invariance, bounds and awkward rows."""
 
 import collections
+import hashlib
 import itertools
+import json
 import random
 import re
 import time
@@ -11,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cladewise.llm import common, graph, packing, queries, secrets, simhash, sql, topk, toxicity
+from cladewise.llm import chat, common, graph, packing, queries, secrets, simhash, sql, topk, toxicity, warc
 
 from ..oracle import database
 from .test_operators import SECRETS, jaccard, reached, rows_of, shingles
@@ -365,3 +367,126 @@ def test_thousands_of_cells(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = collections.Counter(map(tuple, topk.search(frame, 3, 1000, 1).collect()))
     assert got == all_pairs(rows, 1000, 3, lambda a, b: int(np.dot(a, b)))
+
+
+# 8
+
+
+def plain_chat(rows, tools):
+    """(n_calls, n_linked, n_valid, problems, message) of each row, by loops over plain dictionaries."""
+    parsed, calls, results = [], collections.defaultdict(list), collections.defaultdict(list)
+    for at, (conv, turn, role, text) in enumerate(rows):
+        try:
+            told = json.loads(text)
+        except ValueError:
+            told = None
+        own = told.get("tool_calls") if role == "assistant" and isinstance(told, dict) else None
+        if own:
+            parsed.append(("asks", told, own))
+            for pos, c in enumerate(own):
+                if c.get("id"):
+                    calls[conv, c["id"]].append((turn, pos, c))
+        elif role == "tool" and isinstance(told, dict) and "tool_call_id" in told:
+            parsed.append(("answers", told, None))
+            results[conv, told["tool_call_id"]].append(turn)
+        else:
+            parsed.append(("says", None, None))
+    refers = {k: {r for _, _, c in v for r in re.findall(r'"\$result:([^"\\]+)"', json.dumps(c["arguments"])) if (k[0], r) in calls} for k, v in calls.items()}
+    level = {}
+    while fresh := {k: 1 + max((level[k[0], r] for r in refers[k]), default=-1) for k in refers if k not in level and all((k[0], r) in level for r in refers[k])}:
+        level |= fresh
+    kinds = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}
+    canonical = lambda x: json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    out = []
+    for (conv, turn, role, text), (kind, told, own) in zip(rows, parsed):
+        if kind == "says":
+            out.append((0, 0, 0, "", canonical({"content": text, "role": role})))
+        elif kind == "answers":
+            stray = (conv, told["tool_call_id"]) not in calls
+            out.append((0, 0, 0, f"{told['tool_call_id']} - no call" if stray else "", canonical({"content": told.get("content", ""), "role": role, "tool_call_id": told["tool_call_id"]})))
+        else:
+            made = []
+            for pos, c in enumerate(own):
+                i, args, faults = c.get("id", ""), c["arguments"], []
+                schema = tools.get(c["name"])
+                if schema is None:
+                    faults = ["unknown tool"]
+                else:
+                    for p, (want, need) in schema.items():
+                        if p not in args:
+                            faults += [f"missing {p}"] * need
+                        elif not isinstance(args[p], kinds[want]) or isinstance(args[p], bool) and want != "boolean":
+                            faults.append(f"not {want}: {p}")
+                    faults = sorted(faults + [f"unknown {p}" for p in args if p not in schema])
+                again = bool(i) and min(x[:2] for x in calls[conv, i]) != (turn, pos)
+                ends = [] if again or not i else results[conv, i]
+                more = ["no id"] * (not i) + ["repeated id"] * again + ["cycle"] * (bool(i) and (conv, i) not in level) + ["no result"] * (not ends) + ["result before call"] * (bool(ends) and min(ends) <= turn) + ["more results"] * (len(ends) > 1)
+                body = {"arguments": args, "id": i, "name": c["name"]} | ({"result_turn": min(ends)} if ends else {})
+                made.append((level.get((conv, i), 1 << 40), pos, body, [f"{i} - {f}" for f in faults + more], not faults, bool(ends)))
+            made.sort(key=lambda m: m[:2])
+            out.append((len(made), sum(m[5] for m in made), sum(m[4] for m in made), "; ".join(p for m in made for p in m[3]), canonical({"content": told.get("content", ""), "role": role, "tool_calls": [m[2] for m in made]})))
+    return out
+
+
+def made_chat(number):
+    rng, rows = random.Random(12), []
+    values = ["x", 3, 2.5, True, [1], {"b": 1, "a": "é"}, "$result:c1", "$result:c2", "$result:c5", "$result:none"]
+    for conv in range(number):
+        for turn in range(rng.randint(1, 9)):
+            kind = rng.random()
+            if kind < 0.4:
+                calls = [{"id": f"c{rng.randrange(7)}", "name": rng.choice(["calculate", "fetch", "search", "other"]), "arguments": {k: rng.choice(values) for k in rng.sample(["expression", "digits", "url", "timeout", "follow", "query", "limit", "filters", "fields", "zz"], rng.randint(0, 4))}} for _ in range(rng.randint(1, 4))]
+                for c in calls:
+                    if rng.random() < 0.1:
+                        del c["id"]
+                rows.append((str(conv), turn, "assistant", json.dumps({"content": "so", "tool_calls": calls})))
+            elif kind < 0.8:
+                rows.append((str(conv), turn, "tool", json.dumps({"tool_call_id": f"c{rng.randrange(7)}", "content": "r"})))
+            else:
+                rows.append((str(conv), turn, "user", rng.choice(["hi", '{"a": 1}', 'say "x"\n'])))
+    return rows
+
+
+def test_chat_agrees_with_plain_loops(spark):
+    rows = made_chat(60)
+    frame = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.n_calls, r.n_linked, r.n_valid, r.problems, r.message) for r in chat.format_chat(frame, chat.tool_schemas(spark, queries.TOOLS)).collect()}
+    assert got == {r[:2]: x for r, x in zip(rows, plain_chat(rows, queries.TOOLS))}
+
+
+def test_long_chains_and_null_conversations(spark):
+    ask = lambda *calls: json.dumps({"tool_calls": [{"id": i, "name": "fetch", "arguments": {"url": u}} for i, u in calls]})
+    order = list(range(1000))
+    random.Random(1).shuffle(order)
+    rows = [("long", 0, "assistant", ask(*((f"k{i}", f"$result:k{i - 1}" if i else "u") for i in order)))]
+    rows += [("", 0, "assistant", ask(("a", "$result:a"))), (None, 0, "assistant", ask(("a", "u"))), ("text", 0, "user", "long " * 200_000)]
+    frame = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.format_chat(frame, chat.tool_schemas(spark, queries.TOOLS)).collect()}
+    assert [c["id"] for c in json.loads(got["long"].message)["tool_calls"]] == [f"k{i}" for i in range(1000)]
+    assert got["long"].n_valid == 1000 and "cycle" not in got["long"].problems
+    assert "cycle" in got[""].problems and "cycle" not in got[None].problems
+    assert len(got["text"].message) > 1_000_000
+
+
+# 9
+
+
+def test_warc_files_are_bounded_and_gaps_are_errors(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    rng = random.Random(3)
+    rows = [(i, "u", "%0*x" % (n, rng.getrandbits(4 * n)), "x") for i, n in enumerate([3000] * 40 + [200_000, 0, 999, 1000])] + [(2, "v", "same id", "y")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, HTML string").coalesce(1)
+    folder = str(tmp_path / "a")
+    warc.write_archives(frame, folder)
+    files = sorted((tmp_path / "a").glob("part-*"), key=lambda f: f.stat().st_size)
+    assert len(files) > 4 and files[-2].stat().st_size < 30_000
+    got = collections.Counter((int(r.name), r.payload_bytes, r.payload_digest) for r in warc.read_archives(spark, folder, strict=True).collect())
+    assert got == collections.Counter((i, len(h), hashlib.sha1(h.encode()).hexdigest()) for i, _, h, _ in rows)
+    hurt = bytearray(files[0].read_bytes())
+    hurt[len(hurt) // 2] ^= 0xFF
+    files[0].write_bytes(hurt)
+    for check in (tmp_path / "a").glob(".*.crc"):
+        check.unlink()
+    assert warc.read_archives(spark, folder).where("lost is not null").count() == 1
+    with pytest.raises(Exception, match="are no record"):
+        warc.read_archives(spark, folder, strict=True).collect()
