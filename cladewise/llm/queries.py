@@ -81,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Tokenizers, XXH64 with a seed, graphs and classifier chains are beyond SQL; their queries are tested against plain versions."""
-    return {"op3_exact_top_k": sql.TOP_K, "op6_secret_scans": sql.secret_scans(), "op9_warc": sql.WARC}
+    return {"op3_exact_top_k": sql.TOP_K, "op6_secret_scans": sql.secret_scans(), "op8_chat_formatting": sql.CHAT, "op9_warc": sql.WARC}

@@ -10,6 +10,13 @@ s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) A
 SELECT query_id, CAST(r AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5
 """
 
+#: Messages without calls or results, as the given conversations are; others are an error here and tested against plain loops.
+CHAT = """
+SELECT conv_id, turn, coalesce(role, '') AS role, CAST(0 AS INT) AS n_calls, CAST(0 AS INT) AS n_linked, CAST(0 AS INT) AS n_valid, '' AS problems,
+CASE WHEN ltrim(text) LIKE '{%' AND (role = 'tool' OR role = 'assistant' AND contains(text, '"tool_calls"')) THEN error('calls and results are beyond this SQL') ELSE CAST(to_json({'content': coalesce(text, ''), 'role': coalesce(role, '')}) AS VARCHAR) END AS message
+FROM conversations
+"""
+
 WARC = """
 SELECT page_id, url, bytes AS payload_bytes, sha1(body) AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
 FROM (SELECT *, CASE WHEN bytes >= 1000 THEN max(page_id) OVER (PARTITION BY body) ELSE page_id END AS first FROM (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS body, CAST(strlen(coalesce(html, '')) AS BIGINT) AS bytes FROM pages))
