@@ -98,8 +98,10 @@ class Oversampling:
 
     def __post_init__(self) -> None:
         _need(self.rank in RANKS, f"{self.rank} is no rank")
-        _need(self.floor >= 1 and self.max_copies >= 1, "floor and max_copies must be positive")
-        _need(self.max_ratio >= 0, "max_ratio can't be negative")
+        _need(self.floor >= 1, "floor must be positive")
+        _need(self.max_copies >= 0, "max_copies can't be negative")
+        _need(0 < self.max_ratio <= 1, "max_ratio must lie in (0, 1]")
+        _need(0 <= self.seed < 2**64, "the seed must fit 64 bits")
 
 
 @dataclass(frozen=True)
@@ -120,4 +122,5 @@ class Training:
     def __post_init__(self) -> None:
         _need(min(self.epochs, self.batch_size, self.max_length, self.eval_batch, self.bucket_window, self.log_every) >= 1, "sizes must be positive")
         _need(self.learning_rate > 0 and self.weight_decay >= 0 and self.clip > 0, "rates must be positive")
+        _need(0 <= self.seed < 2**64, "the seed must fit 64 bits")
         _need(0 <= self.warmup < 1 and 0 <= self.sampling_power <= 1, "warmup and sampling_power must lie in [0, 1]")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -12,8 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir; in a temporary one where that is unset, as in tests."""
-    top = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="cladewise")
+    """A new path in the folder of spark.checkpoint.dir, else in the context's checkpoint folder.
+
+    Where neither is set, a local run gets a temporary folder, which becomes the
+    context's; on a cluster that would be one machine's disk, so it is an error.
+    """
+    context = spark.sparkContext
+    top = spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
+    if not top:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="cladewise"))
+        top = context.getCheckpointDir()
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -40,10 +51,24 @@ def write_json(path: str | Path, value) -> None:
     write_text(path, json.dumps(value, ensure_ascii=False, indent=2) + "\n")
 
 
+def replace(files, fresh, target, old) -> None:
+    """Moves the path fresh to target on a file system whose rename tells by its result whether it worked; what was at target waits at old."""
+    if files.exists(target):
+        files.delete(old, True)
+        if not files.rename(target, old):
+            raise OSError(f"{target} can't be moved aside")
+    if not files.rename(fresh, target):
+        if files.exists(old) and not files.rename(old, target):
+            raise OSError(f"{fresh} can't be moved to {target}; the earlier result is at {old}")
+        raise OSError(f"{fresh} can't be moved to {target}")
+    files.delete(old, True)
+
+
 def write_parquet(df: DataFrame, path: str, rows_a_file: int = 0, sort: list[str] | None = None) -> int:
     """Parquet with zstd under another name first, then renamed; returns the number of rows, counted while writing.
 
-    Nothing stays of a failed write, and an earlier result stays whole until the new one is.
+    Nothing stays of a failed write. An earlier result is moved aside, not deleted, until
+    the new one is in its place; if that move fails, the earlier one is moved back.
     """
     from pyspark.sql import Observation
     from pyspark.sql import functions as F
@@ -51,15 +76,14 @@ def write_parquet(df: DataFrame, path: str, rows_a_file: int = 0, sort: list[str
     spark = df.sparkSession
     seen = Observation(f"rows-{uuid.uuid4().hex}")
     out = (df.orderBy(*sort) if sort else df).observe(seen, F.count(F.lit(1)).alias("n"))
-    part = f"{path}.part"
+    part, aside = f"{path}.part", f"{path}.old"
     jvm = spark._jvm
-    target, half = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(part)
+    target, half, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, part, aside))
     files = target.getFileSystem(spark._jsc.hadoopConfiguration())
     try:
         writer = out.write.mode("overwrite").option("compression", "zstd")
         (writer.option("maxRecordsPerFile", rows_a_file) if rows_a_file else writer).parquet(part)
-        files.delete(target, True)
-        files.rename(half, target)
+        replace(files, half, target, old)
     finally:
         files.delete(half, True)
     return seen.get["n"]

@@ -76,8 +76,9 @@ def kingdoms(entries: DataFrame) -> DataFrame:
 def first_match(rows: DataFrame, unique: DataFrame, ids: list[str]) -> DataFrame:
     """(ids, mapped): the lineage of the first candidate of each row that the backbone knows in the row's domain.
 
-    Distinct (kind, name, domain) are looked up once; the row's choice is the least
-    position that hit.
+    Each candidate meets its one entry (kind, name, domain); a name that many rows ask
+    for is split by Spark's skew join, as the backbone has it once. The row's choice is
+    the least position that hit.
     """
     asked = rows.select(*ids, "domain_name", F.posexplode("candidates").alias("pos", "c")).select(*ids, F.col("domain_name").alias("domain"), "pos", F.col("c.kind").alias("kind"), F.col("c.name").alias("name"))
     hits = asked.join(unique, ["kind", "name", "domain"])

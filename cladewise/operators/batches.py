@@ -41,8 +41,12 @@ def take(rows: DataFrame, ordinals: DataFrame) -> DataFrame:
 
 
 def validation_subset(rows: DataFrame, samples: int, seed: int, key: str = "seq_hash", impl: str = "blake2b") -> DataFrame:
-    """`samples` rows without replacement, by the least draws; all rows if there are no more."""
-    return rows.withColumn("_draw", draw(key, seed, "validation", impl)).orderBy("_draw", key).limit(samples).drop("_draw")
+    """`samples` rows without replacement, by the least draws, in the order of their keys; all rows if there are no more.
+
+    Only keys, one for each row, are sorted by their draws; whole rows stay where they are.
+    """
+    chosen = rows.select(key).orderBy(draw(key, seed, "validation", impl), key).limit(samples)
+    return rows.join(chosen, key, "left_semi").orderBy(key)
 
 
 def weighted_sample(rows: DataFrame, weight: str, number: int, seed: int, key: str = "seq_hash", impl: str = "blake2b") -> DataFrame:

@@ -27,6 +27,13 @@ def running(rows: DataFrame, order: list[Column | str], amount: Column, name: st
     return placed.join(F.broadcast(bases), "_part").withColumn(name, (F.col("_base") + F.col("_before")).cast("long")).drop("_part", "_before", "_base", "_amount")
 
 
+def numbered_within(rows: DataFrame, group: str, order: list[Column | str], name: str) -> DataFrame:
+    """rows with their number within their group, from 0; a group of any size is spread over many tasks."""
+    every = numbered(rows, [group, *order], "_every")
+    first = every.groupBy(F.col(group).alias("_group")).agg(F.min("_every").alias("_first"))
+    return every.join(first, F.col(group).eqNullSafe(F.col("_group"))).withColumn(name, F.col("_every") - F.col("_first")).drop("_every", "_group", "_first")
+
+
 def numbered(rows: DataFrame, order: list[Column | str], name: str = "ordinal") -> DataFrame:
     """rows with their number in order, from 0."""
     return running(rows, order, F.lit(1), name)

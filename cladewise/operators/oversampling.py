@@ -12,12 +12,13 @@ from pyspark.sql import types as T
 from ..functions.exprs import balancing_key, count_ambiguous
 from ..functions.hashing import copy_seed, sequence_hash
 from ..functions.schema import UNKNOWN, Mutation, Oversampling
+from .ordering import numbered_within
 
 
 def classes(rows: DataFrame, rank: str = "genus") -> DataFrame:
     """Rows with `group` (kingdom or unknown), `key` (the class) and `size`, the class's rows."""
     named = rows.withColumn("group", F.coalesce("kingdom", F.lit(UNKNOWN))).withColumn("key", F.concat_ws("|", F.col("group"), balancing_key(rank)))
-    return named.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    return named.join(named.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key")
 
 
 def plan_copies(sizes: DataFrame, floor: int, most: int) -> DataFrame:
@@ -30,15 +31,17 @@ def apportion(plan: DataFrame, budgets: DataFrame) -> DataFrame:
     """(group, key, copies) with `allotted`: as planned if a group's sum keeps to its budget, else by largest remainders.
 
     Each class gets the whole part of its share; what is left goes, one by one, to the
-    largest fractions, ties to the smaller key.
+    largest fractions, ties to the smaller key. A group's classes are spread over many
+    tasks.
     """
-    group = Window.partitionBy("group")
-    rows = plan.join(budgets, "group").withColumn("_total", F.sum("copies").over(group))
+    rows = plan.join(budgets, "group")
+    rows = rows.join(rows.groupBy("group").agg(F.sum("copies").alias("_total")), "group")
     # whole numbers throughout: copies * budget = whole * total + rest
     rows = rows.withColumn("_whole", F.expr("copies * budget div _total")).withColumn("_rest", F.expr("copies * budget % _total"))
-    rows = rows.withColumn("_left", F.col("budget") - F.sum("_whole").over(group)).withColumn("_place", F.row_number().over(group.orderBy(F.desc("_rest"), "key")))
-    share = F.col("_whole") + (F.col("_place") <= F.col("_left")).cast("long")
-    return rows.withColumn("allotted", F.when(F.col("_total") <= F.col("budget"), F.col("copies")).otherwise(share)).drop("_total", "_whole", "_rest", "_left", "_place")
+    rows = numbered_within(rows, "group", [F.desc("_rest"), "key"], "_place")
+    rows = rows.join(rows.groupBy("group").agg(F.sum("_whole").alias("_given")), "group").withColumn("_left", F.col("budget") - F.col("_given"))
+    share = F.col("_whole") + (F.col("_place") < F.col("_left")).cast("long")
+    return rows.withColumn("allotted", F.when(F.col("_total") <= F.col("budget"), F.col("copies")).otherwise(share)).drop("_total", "_whole", "_rest", "_left", "_place", "_given")
 
 
 def budgets(rows: DataFrame, ratio: float) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 
 from ..functions.exprs import taxon_key
 from ..functions.hashing import draw
@@ -13,7 +13,8 @@ from ..functions.schema import Split
 def genus_sizes(rows: DataFrame) -> DataFrame:
     """(genus_key, family_key, n_sequences, n_siblings): genera with their number of sequences, and how many genera their family has; genera without family count together."""
     sizes = rows.select(taxon_key("genus").alias("genus_key"), taxon_key("family").alias("family_key")).where("genus_key is not null").groupBy("genus_key", "family_key").agg(F.count(F.lit(1)).alias("n_sequences"))
-    return sizes.withColumn("n_siblings", F.count(F.lit(1)).over(Window.partitionBy("family_key")))
+    families = sizes.groupBy(F.col("family_key").alias("_family")).agg(F.count(F.lit(1)).alias("n_siblings"))
+    return sizes.join(families, F.col("family_key").eqNullSafe(F.col("_family"))).drop("_family")
 
 
 def novel_genera(rows: DataFrame, config: Split = Split(), impl: str = "blake2b") -> DataFrame:

@@ -10,10 +10,10 @@ from ..functions.hashing import fingerprint
 from ..functions.schema import LEVELS, RANKS, Mutation, Oversampling, Training
 from ..operators import backbone, batches, encoders, labels, oversampling, parsers, split, staging, training
 from ..sources.taxdump import read_taxa
-from .adapters import STAGED_SQL, dataset_sql, key_sql, merged_sql, q, read, sequences, staged
+from .adapters import STAGED_SQL, balancing_sql, dataset_sql, key_sql, merged_sql, q, read, sequences, staged
 from .catalog import query
 from .merge_queries import dataset, merged
-from .training_queries import BUCKETS, SPACE, hashed, made, train
+from .training_queries import BUCKETS, ENCODED, SPACE, hashed, made, train
 
 
 @query("F04_split_filter", f"SELECT seq_hash FROM ({dataset_sql()}) WHERE split = 'train'")
@@ -184,7 +184,7 @@ def c08(spark, sf):
     return training.predictions(rows, params, len(LEVELS))
 
 
-@query("T23_training_data")
+@query("T23_training_data", f"WITH s AS ({SPACE}) SELECT * FROM (SELECT seq_hash, CAST(count(*) OVER (PARTITION BY {balancing_sql('class')}) AS DOUBLE) AS frequency FROM ({dataset_sql()}) WHERE split = 'train') JOIN ({ENCODED.replace(chr(39) + 'val' + chr(39), chr(39) + 'train' + chr(39))}) USING (seq_hash)")
 def t23(spark, sf):
     coded, held, sizes = learnable(spark, sf)
     return coded.select("seq_hash", "frequency", *(f"y_{n}" for n in LEVELS))

@@ -157,13 +157,13 @@ def s19(spark, sf):
     return spark.range(1000).select(F.col("id").alias("step"), F.round(exprs.learning_rate_factor("id", 1000, 50), 9).alias("factor"))
 
 
-@query("S20_objective", "SELECT round(avg(acc), 9) AS objective FROM (SELECT p_type AS level, avg(CASE WHEN p_size > 25 THEN 1.0 ELSE 0.0 END) AS acc FROM part GROUP BY p_type ORDER BY p_type LIMIT 2)")
+@query("S20_objective", "SELECT round(avg(acc), 9) AS objective FROM (SELECT length(p_type) % 2 AS level, avg(CASE WHEN p_size > 25 THEN 1.0 ELSE 0.0 END) AS acc FROM part GROUP BY 1)")
 def s20(spark, sf):
     from ..operators.metrics import objective
 
-    levels = read(spark, sf, "part").groupBy(F.col("p_type").alias("level")).agg(F.avg((F.col("p_size") > 25).cast("double")).alias("accuracy")).orderBy("level").limit(2)
-    named = levels.withColumn("level", F.when(F.row_number().over(Window.orderBy("level")) == 1, "genus").otherwise("species"))
-    return objective(named).select(F.round("objective", 9).alias("objective"))
+    level = F.when(F.length("p_type") % 2 == 0, "genus").otherwise("species")
+    levels = read(spark, sf, "part").groupBy(level.alias("level")).agg(F.avg((F.col("p_size") > 25).cast("double")).alias("accuracy"))
+    return objective(levels).select(F.round("objective", 9).alias("objective"))
 
 
 @query("S21_sampling_weights", "SELECT p_partkey AS k, round(pow(f, -0.5) * count(*) OVER () / sum(pow(f, -0.5)) OVER (), 8) AS weight FROM (SELECT p_partkey, CAST(count(*) OVER (PARTITION BY p_brand) AS DOUBLE) AS f FROM part)")

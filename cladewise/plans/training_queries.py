@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pyspark.sql.functions as F
 
+from ..functions import storage
 from ..functions.schema import LEVELS, Oversampling
 from ..operators import batches, labels, oversampling, reports
 from .adapters import SEQUENCES_SQL, balancing_sql, dataset_sql, key_sql, read, sequences
@@ -63,7 +64,7 @@ def hashed(spark, sf):
 
 
 def made(spark, sf):
-    rows = hashed(spark, sf)
+    rows = storage.materialised(hashed(spark, sf), "dataset")
     return rows, oversampling.synthesised(rows, oversampling.planned(rows.where("split = 'train'"), CONFIG), CONFIG)
 
 
@@ -81,12 +82,17 @@ def t11(spark, sf):
     return plain(oversampling.training_frame(*made(spark, sf))).select("seq_hash", "parent_seq_hash", "synthetic", "length", "split")
 
 
-@query("G16_overview")
+#: Real training rows, and each parent as often as it gets copies; a copy equal to another sequence would be missing.
+FRAME = f"SELECT split, kingdom, genus, species, false AS synthetic FROM ({TRAIN}) UNION ALL SELECT split, kingdom, genus, species, true FROM (SELECT t.*, allotted // size + CASE WHEN row_number() OVER (PARTITION BY t.key ORDER BY seq_hash) <= allotted % size THEN 1 ELSE 0 END AS copies FROM ({TRAIN}) t JOIN ({APPORTIONED}) a ON t.key = a.key), range(6) r(i) WHERE i < copies"
+PERCENT = "round(avg(CASE WHEN {} IS NOT NULL THEN 1.0 ELSE 0.0 END) * 100, 1) AS pct_{}"
+
+
+@query("G16_overview", f"SELECT split, count(*) AS n, count(*) FILTER (synthetic) AS n_synthetic, {PERCENT.format('genus', 'genus')}, {PERCENT.format('species', 'species')} FROM ({FRAME}) GROUP BY split")
 def g16(spark, sf):
     return reports.overview(oversampling.training_frame(*made(spark, sf)))
 
 
-@query("G17_real_and_synthetic")
+@query("G17_real_and_synthetic", f"SELECT coalesce(kingdom, 'unknown') AS kingdom, count(*) FILTER (NOT synthetic) AS n_real, count(*) FILTER (synthetic) AS n_synthetic, count(*) AS n FROM ({FRAME}) GROUP BY 1")
 def g17(spark, sf):
     return reports.real_and_synthetic(oversampling.training_frame(*made(spark, sf)))
 
@@ -120,14 +126,14 @@ ENCODED = f"SELECT v.seq_hash, " + ", ".join(f"coalesce(s_{n}.class_index, -100)
 
 @query("T13_encode_labels", f"WITH s AS ({SPACE}) {ENCODED}")
 def t13(spark, sf):
-    rows = dataset(spark, sf)
+    rows = storage.materialised(dataset(spark, sf), "dataset")
     return labels.encode(rows.where("split = 'val'"), labels.label_space(rows.where("split = 'train'"), 3), ["seq_hash"])
 
 
-@query("T14_decode_labels", f"SELECT level, class_index, class_key FROM ({SPACE}) WHERE class_index % 2 = 0")
+@query("T14_decode_labels", f"SELECT level, class_index, class_key FROM ({SPACE})")
 def t14(spark, sf):
     space = labels.label_space(train(spark, sf), 3)
-    return labels.decode(space.where("class_index % 2 = 0").select("level", "class_index"), space).select("level", "class_index", "class_key")
+    return labels.decode(space.select("level", "class_index"), space).select("level", "class_index", "class_key")
 
 
 @query("T15_token_bank", f"SELECT doc_id, length, CAST(coalesce(sum(length) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM ({SEQUENCES_SQL})")
