@@ -27,7 +27,7 @@ MOST_SPLIT = 20_000
 #: (fingerprint, word) pairs compared together, and shingles whose bits are unpacked together.
 PAIRS, SHINGLES = 1 << 16, 1 << 15
 #: Shingle sets that are compared together, and bits that tell which sets are wanted.
-SETS, SIEVE = 4096, 1 << 23
+SETS, SIEVE = 1024, 1 << 23
 #: The share of bits in which two sets at Jaccard 0.8 differ on average, and the chance at which tables may miss such a pair.
 EXPECTED, MISSED = 78 / 512, 0.001
 #: Rows of a bucket on average at most, slices that are joined to one key at most, and places that a table of longer fingerprints samples.
@@ -428,33 +428,82 @@ def similar(sets: list[np.ndarray], side: np.ndarray, least: float) -> np.ndarra
     return np.stack([root[to], to], 1)
 
 
+def set_keys(table: pa.Table, names: tuple[str, ...]) -> list[tuple[int, int]]:
+    """(begin, end) of the rows that agree in the columns, which come together."""
+    keys = list(zip(*(table.column(c).to_pylist() for c in names)))
+    begin = [k for k in range(len(keys)) if not k or keys[k] != keys[k - 1]]
+    return [*zip(begin, [*begin[1:], len(keys)])]
+
+
+def near_centres(rows: DataFrame, least: float) -> DataFrame:
+    """(root, digest, near, centre) of the sets of large roots: whether a set has a similarity of `least` or more with its root's least digest.
+
+    Each block of a root gets its own rows and the centre, so the work grows with the rows.
+    """
+    centres = rows.groupBy("root", "blocks").agg(F.min("digest").alias("digest"))
+    centres = rows.join(centres, ["root", "blocks", "digest"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = rows.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    names = ("root", "block", "own", "digest", "shingles")
+    both = centres.withColumn("own", F.lit(False)).select(*names).unionByName(own.withColumn("own", F.lit(True)).select(*names))
+    both = both.repartition("root", "block").sortWithinPartitions("root", "block", "own", "digest")
+
+    def look(batches):
+        now, centre, kept = None, None, None
+        for batch in batches:
+            out = ([], [], [], [])
+            for root, block, mine, digest, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                found = np.frombuffer(raw, "<u8")
+                if (root, block) != now:  # the centre comes first
+                    now, centre, kept = (root, block), digest, found
+                if mine:
+                    both = len(np.intersect1d(found, kept, assume_unique=True))
+                    for column, x in zip(out, (root, digest, both >= least * (len(found) + len(kept) - both) - 1e-9, centre)):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.binary(), pa.binary(), pa.bool_(), pa.binary()))], ["root", "digest", "near", "centre"])
+
+    return both.mapInArrow(look, "root binary, digest binary, near boolean, centre binary")
+
+
 def link_sets(sets: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
     """Edges (a, b) between digests whose sets have a Jaccard similarity of `least` or more, as far as their components go.
 
     sets: (root, digest); all pairs of a root are told apart by their whole sets. Roots
-    of more than SETS are split into blocks, and each pair of blocks is compared by itself.
+    of more than SETS sets are first compared with one set each, their centre: those near
+    it are one component already, so that only pairs with one of the rest are left.
+    These go in blocks of SETS, each pair of blocks by itself; a group of near copies
+    leaves few or none.
     """
     sizes = sets.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
     several = attach(sets, sizes.withColumn("_sets", F.col("_n")), "root", "_n").where("_sets > 1")
-    several = checkpointed(several.select("digest", "root", F.when(F.col("_sets") > SETS, F.ceil(F.col("_sets") / SETS)).otherwise(1).cast("int").alias("blocks")))
-    rows = shingle_sets(docs, words, several.select("digest")).join(several, "digest").dropDuplicates(["digest"])
-    block = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, block).alias("low"), F.greatest(o, block).alias("high"), F.when(o == block, 0).when(block < o, 1).otherwise(2).alias("side")))
-    rows = rows.select("root", "digest", "shingles", F.explode(pairs).alias("p")).select("root", "p.low", "p.high", "p.side", "digest", "shingles")
-    rows = rows.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "digest")
+    several = written(several.select("digest", "root", F.ceil(F.col("_sets") / SETS).cast("int").alias("blocks")))
+    rows = written(shingle_sets(docs, words, several.select("digest")).join(several, "digest").dropDuplicates(["digest"]))
+    large = rows.where("blocks > 1")
+    told = written(near_centres(large, least))
+    number = told.groupBy("root").agg(F.ceil(F.count_if("near") / SETS).cast("int").alias("n_near"), F.ceil(F.count_if(~F.col("near")) / SETS).cast("int").alias("n_rest"), F.count(F.lit(1)).alias("_n"))
+    parts = attach(large.join(told.select("digest", "near"), "digest"), number, "root", "_n").where("n_rest > 0")
+    block = F.pmod(F.xxhash64("digest"), F.when(F.col("near"), F.col("n_near")).otherwise(F.col("n_rest"))).cast("int")
+    pair = lambda low, high, side: F.struct(low.alias("low"), high.alias("high"), side.cast("int").alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    among = F.transform(upto("n_rest"), lambda o: pair(F.least(o, block), F.greatest(o, block), F.when(o == block, 0).when(block < o, 1).otherwise(2)))
+    # Blocks of near sets count down from -1, so that they come before any of the rest.
+    across = F.when(F.col("n_near") > 0, F.transform(upto("n_near"), lambda o: pair(-1 - o, block, F.lit(2)))).otherwise(F.array().cast("array<struct<low:int,high:int,side:int>>"))
+    pairs = F.when(F.col("near"), F.transform(upto("n_rest"), lambda o: pair(-1 - block, o, F.lit(1)))).otherwise(F.concat(among, across))
+    names = ("root", "low", "high", "side", "digest", "shingles")
+    parts = parts.withColumn("p", F.explode(pairs)).select("root", "p.low", "p.high", "p.side", "digest", "shingles")
+    whole = rows.where("blocks = 1").withColumns({c: F.lit(0) for c in names[1:4]}).select(*names)
+    compared = whole.unionByName(parts).repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "digest")
 
     def compare(batches):
         for table in batched(batches, 3, SETS):
-            keys = [table.column(c).to_pylist() for c in ("root", "low", "high")]
             digests, raw, side = table.column("digest").to_pylist(), table.column("shingles").to_pylist(), table.column("side").to_numpy()
-            begin = [k for k in range(len(raw)) if not k or any(x[k] != x[k - 1] for x in keys)]
-            for a, b in zip(begin, [*begin[1:], len(raw)]):
+            for a, b in set_keys(table, ("root", "low", "high")):
                 if b - a > 1:
                     found = similar([np.frombuffer(x, "<u8") for x in raw[a:b]], side[a:b], least)
                     if len(found):
                         yield pa.RecordBatch.from_arrays([pa.array([digests[a + k] for k in found[:, c]], pa.binary()) for c in (0, 1)], ["a", "b"])
 
-    return rows.mapInArrow(compare, "a binary, b binary")
+    starred = told.where("near and digest <> centre").select(F.col("centre").alias("a"), F.col("digest").alias("b"))
+    return starred.unionByName(compared.mapInArrow(compare, "a binary, b binary"))
 
 
 def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, bits: int = 512, radius: int = 116) -> DataFrame:
