@@ -45,7 +45,10 @@ class Splitter:
             told = json.load(f)
         self.model = told["model"]
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = {x["content"]: x["id"] for x in told["added_tokens"]}
+        added = told["added_tokens"]
+        if odd := [x["content"] for x in added if any(x.get(k) for k in ("lstrip", "rstrip", "single_word", "normalized"))]:
+            raise ValueError(f"{path}: added tokens {odd} take in more or less than their own text, which is not supported")
+        self.special = {x["content"]: x["id"] for x in added}
         self.words = self.model.get("end_of_word_suffix") == "</w>"
         self._pattern = regex.compile(WORD_PATTERN if self.words else BYTE_PATTERN)
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
@@ -73,7 +76,7 @@ class Splitter:
 
     def segments(self, text: str):
         """(special string or None, pieces) in the text's order."""
-        for k, part in enumerate(self._special.split(text) if "<|" in text else [text]):
+        for k, part in enumerate(self._special.split(text) if any(map(text.__contains__, self.special)) else [text]):
             if k % 2:
                 yield part, []
             elif part:

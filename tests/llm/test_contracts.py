@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cladewise.llm import chat, common, graph, packing, queries, secrets, simhash, sql, topk, toxicity, warc
+from cladewise.llm import chat, common, graph, packing, pieces, queries, secrets, simhash, sql, topk, toxicity, warc
 
 from ..oracle import database
 from .test_operators import SECRETS, jaccard, reached, rows_of, shingles
@@ -490,3 +490,28 @@ def test_warc_files_are_bounded_and_gaps_are_errors(spark, monkeypatch, tmp_path
     assert warc.read_archives(spark, folder).where("lost is not null").count() == 1
     with pytest.raises(Exception, match="are no record"):
         warc.read_archives(spark, folder, strict=True).collect()
+
+
+# 1, 4, 10
+
+
+@pytest.mark.parametrize("kind", ["lstrip", "rstrip", "single_word", "normalized"])
+def test_added_tokens_beyond_plain_text_are_an_error(tmp_path, kind):
+    with open(queries.vocabulary("byte_bpe_50k.json"), encoding="utf-8") as f:
+        told = json.load(f)
+    told["added_tokens"][0][kind] = True
+    (tmp_path / "t.json").write_text(json.dumps(told), encoding="utf-8")
+    with pytest.raises(ValueError, match="not supported"):
+        pieces.Splitter(str(tmp_path / "t.json"))
+
+
+def test_special_strings_of_other_shapes(tmp_path):
+    from tokenizers import Tokenizer
+
+    with open(queries.vocabulary("byte_bpe_50k.json"), encoding="utf-8") as f:
+        told = json.load(f)
+    told["added_tokens"].append(told["added_tokens"][0] | {"id": 50257, "content": "[SEP]"})
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps(told), encoding="utf-8")
+    text = "one[SEP] two <|endoftext|>three [SEP][SEP]"
+    assert np.frombuffer(packing.Ids(str(path)).encode(text), "<u4").tolist() == Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids
