@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from cladewise.llm import chat, common, graph, packing, pieces, queries, secrets, simhash, sql, topk, toxicity, warc
 
 from ..oracle import database
-from .test_operators import SECRETS, jaccard, reached, rows_of, shingles
+from .test_operators import SECRETS, check_packing, jaccard, library, reached, rows_of, shingles
 
 SF = "/root/testdata/sf0.001"
 
@@ -515,3 +515,24 @@ def test_special_strings_of_other_shapes(tmp_path):
     path.write_text(json.dumps(told), encoding="utf-8")
     text = "one[SEP] two <|endoftext|>three [SEP][SEP]"
     assert np.frombuffer(packing.Ids(str(path)).encode(text), "<u4").tolist() == Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids
+
+
+# the pipeline
+
+
+def test_pipeline_by_similarity(spark):
+    """run() against the stages done plainly, near-duplicates by the exact similarity of their five-word shingles."""
+    import corpus_pipeline
+
+    frame, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    texts = {r.doc_id: r.text or "" for r in frame.collect()}
+    chain = toxicity.train(frame, labels, ("quality", "toxic"))
+    kept = {i: t for i, t in texts.items() if chain.probabilities(t)[1] <= toxicity.THRESHOLD}
+    root = reached({i: shingles(t) for i, t in kept.items()}, lambda a, b: jaccard(a, b) >= 0.8)
+    kept = {i: t for i, t in kept.items() if root[i] == i}
+    hidden = {r.doc_id: r.text for r in secrets.redact(frame).select("doc_id", "text").collect()}
+    clean = {i: hidden[i] or "" for i in kept}
+    encoded = library("byte_bpe_50k.json").encode_batch(list(clean.values()), add_special_tokens=False)
+    want = {i: [*e.ids, 0] for i, e in zip(clean, encoded)}
+    ends = check_packing(rows_of(corpus_pipeline.run(spark, SF)), want, queries.SEQUENCE)
+    assert len(ends) <= -(-sum(map(len, want.values())) // queries.SEQUENCE) + 1
