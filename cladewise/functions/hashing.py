@@ -52,11 +52,3 @@ def draw(key: Column | str, seed: int, purpose: str, impl: str = "blake2b") -> C
         return keys.map(lambda k: None if k is None else unit_interval(k.encode() if isinstance(k, str) else bytes(k), seed, purpose)).astype(float)
 
     return keyed(key)
-
-
-def fingerprint(hashes) -> str:
-    """One hash over hashes in their order."""
-    whole = hashlib.blake2b(digest_size=16)
-    for h in hashes:
-        whole.update(h)
-    return whole.hexdigest()

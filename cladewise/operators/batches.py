@@ -1,14 +1,26 @@
-"""Weights, token banks, length buckets, padded batches."""
+"""Weights, token banks, chunks, samples, length buckets, padded batches."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 
 from ..functions.exprs import balancing_key, raw_weight, tokens
 from ..functions.hashing import draw
 from .ordering import numbered, running
 
+#: Whole units of a weight of 1: sums of whole numbers don't depend on their order.
+WEIGHT_UNITS = 2**24
+#: Cells of the line of weights at most; one row reaches into no more.
+MOST_CELLS = 2**18
+#: Fixed value: rows in a chunk.
+CHUNK_ROWS = 100_000
+#: Leading hex digits of a hash that name its group in a fingerprint.
+FINGERPRINT_DIGITS = 4
+
 
 def class_frequencies(rows: DataFrame, rank: str = "genus") -> DataFrame:
     """Rows with `frequency`, the rows of their class; counted before rows meet their count."""
@@ -35,6 +47,33 @@ def bank_is_whole(bank: DataFrame) -> DataFrame:
     return one.withColumn("whole", F.col("n_tokens") == F.col("n_bytes"))
 
 
+def chunked(rows: DataFrame, order: list[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Rows with `ordinal`, their number in order, and `chunk`: chunk_rows rows that follow one another; the last may be shorter."""
+    if chunk_rows < 1:
+        raise ValueError("chunk_rows must be positive")
+    return numbered(rows, order).withColumn("chunk", F.floor(F.col("ordinal") / chunk_rows))
+
+
+def chunks(rows: DataFrame, order: list[str], chunk_rows: int = CHUNK_ROWS) -> Iterator[list[Row]]:
+    """The chunks one after the other as lists of rows; the driver holds one partition, and one chunk of it, at a time."""
+    held = chunked(rows, order, chunk_rows).orderBy("ordinal").drop("ordinal")
+    for _, chunk in groupby(held.toLocalIterator(), lambda r: r.chunk):
+        yield list(chunk)
+
+
+def fingerprint(rows: DataFrame, key: str = "seq_hash") -> DataFrame:
+    """(fingerprint): one hash over the hex hashes `key` in order, however often each is there; of no rows the hash of nothing.
+
+    Hashes that begin alike are folded together, then the groups' hashes: no task sees
+    all rows. Equal hashes are counted first, so one that many rows share is one entry.
+    """
+    counted = rows.groupBy(F.col(key).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+    entry = F.concat_ws(":", "_h", F.col("_n").cast("string"))
+    groups = counted.where("_h is not null").groupBy(F.substring("_h", 1, FINGERPRINT_DIGITS).alias("_g")).agg(F.md5(F.array_join(F.array_sort(F.collect_list(entry)), ",")).alias("_d"))
+    told = F.array_sort(F.collect_list(F.concat_ws(":", "_g", "_d")))
+    return groups.agg(F.md5(F.array_join(told, ",")).alias("fingerprint"))
+
+
 def take(rows: DataFrame, ordinals: DataFrame) -> DataFrame:
     """The rows of the given ordinals, as often as they are given."""
     return ordinals.join(rows, "ordinal")
@@ -50,14 +89,31 @@ def validation_subset(rows: DataFrame, samples: int, seed: int, key: str = "seq_
 
 
 def weighted_sample(rows: DataFrame, weight: str, number: int, seed: int, key: str = "seq_hash", impl: str = "blake2b") -> DataFrame:
-    """About `number` rows with replacement: each row as often as its weight's share says, its last part by a draw.
-
-    Systematic sampling: no cumulative sum over all rows, one pass after the sum of weights.
+    """`number` rows with replacement and `draw`, their place in the sample: each draw takes a row with its share of the weights.
+
+    Weights of mean about 1, as sampling_weights gives them, are laid end to end in the
+    order of `key` in whole units (WEIGHT_UNITS to 1, so that sums are exact); a draw is a
+    point there and takes the row it falls on. Null and negative weights count as 0.
+    Points and rows are dealt to cells of the line, a row to each cell that it reaches
+    into, so neither a heavy row nor a large sample meets in one task. Each row has a key
+    of its own. No row has any weight: no draws.
     """
-    total = rows.agg(F.sum(weight).alias("_total"))
-    expected = F.col(weight) * number / F.col("_total")
-    counted = rows.join(F.broadcast(total), F.lit(True)).withColumn("_n", F.floor(expected + draw(key, seed, "sample", impl)).cast("int")).drop("_total")  # with a row
-    return counted.where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    if number < 0:
+        raise ValueError("a sample can't be negative")
+    units = F.greatest(F.coalesce(F.round(F.col(weight) * WEIGHT_UNITS).cast("long"), F.lit(0)), F.lit(0))
+    laid = running(rows.select(key, units.alias("_units")).where("_units > 0"), [key], F.col("_units"), "_from")
+    total = laid.agg(F.sum("_units").alias("_total"))
+    cells = max(1, min(number, MOST_CELLS))
+    width = F.ceil(F.col("_total") / cells)
+    points = rows.sparkSession.range(number).withColumnRenamed("id", "draw").join(F.broadcast(total), F.col("_total") > 0)  # with a row
+    points = points.withColumn("_at", F.floor(draw(F.col("draw").cast("string"), seed, "sample", impl) * F.col("_total")).cast("long"))
+    points = points.select(F.floor(F.col("_at") / width).alias("_cell"), "_at", "draw", F.lit(None).cast(dict(laid.dtypes)[key]).alias("_row"))
+    reached = F.sequence(F.floor(F.col("_from") / width), F.floor((F.col("_from") + F.col("_units") - 1) / width))
+    starts = laid.join(F.broadcast(total), F.lit(True)).withColumn("_cell", F.explode(reached))  # with a row
+    starts = starts.select("_cell", F.greatest("_from", F.col("_cell") * width).alias("_at"), F.lit(None).cast("long").alias("draw"), F.col(key).alias("_row"))
+    line = Window.partitionBy("_cell").orderBy("_at", F.col("draw").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    drawn = starts.unionByName(points).withColumn("_row", F.last("_row", ignorenulls=True).over(line)).where("draw is not null")
+    return drawn.select("draw", F.col("_row").alias(key)).join(rows, key)
 
 
 def bucket_by_length(rows: DataFrame, order: list[str], batch_size: int, window: int) -> DataFrame:
@@ -80,8 +136,25 @@ def shuffled_batches(batches: DataFrame, batch_size: int, seed: int, impl: str =
     return numbered(keyed, ["_short", "_draw", "batch"], "turn").drop("_short", "_draw")
 
 
+def cropped(rows: DataFrame, probability: float, low: int, high: int, seed: int, key: str = "seq_hash", impl: str = "blake2b") -> DataFrame:
+    """Rows whose sequence, with that probability, is a window of low to high letters at a drawn place; shorter ones stay.
+
+    Draws come from `key` alone, so a lost task makes the same windows again; for others
+    in each epoch give another seed.
+    """
+    if not (0 <= probability <= 1 and 1 <= low <= high):
+        raise ValueError("probability must lie in [0, 1], bounds must satisfy 1 <= low <= high")
+    size = F.lit(low) + F.floor(draw(key, seed, "crop-length", impl) * (high - low + 1)).cast("int")
+    cut = rows.withColumn("_size", F.when(draw(key, seed, "crop", impl) < probability, size))
+    place = F.floor(draw(key, seed, "crop-place", impl) * (F.col("length") - F.col("_size") + 1)).cast("int")
+    cut = cut.withColumn("_place", F.when(F.col("length") > F.col("_size"), place))
+    window = F.substring(F.col("sequence"), F.col("_place") + 1, F.col("_size"))
+    cut = cut.withColumn("sequence", F.when(F.col("_place").isNotNull(), window).otherwise(F.col("sequence")))
+    return cut.withColumn("length", F.when(F.col("_place").isNotNull(), F.col("_size")).otherwise(F.col("length"))).drop("_size", "_place")
+
+
 def padded(batches: DataFrame, max_length: int, min_width: int = 1) -> DataFrame:
-    """(…, width, padded): sequences cut to max_length and filled up with '-' to their batch's width."""
+    """(…, width, padded): sequences, cropped before if at all, cut to max_length and filled up with '-' to their batch's width."""
     held = F.least("length", F.lit(max_length))
     width = F.greatest(F.max(held).over(Window.partitionBy("batch")), F.lit(min_width))
     rows = batches.withColumn("width", width).withColumn("n_tokens", held)

@@ -6,7 +6,6 @@ import pyspark.sql.functions as F
 
 from ..functions import storage
 from ..functions.exprs import tokens
-from ..functions.hashing import fingerprint
 from ..functions.schema import LEVELS, RANKS, Mutation, Oversampling, Training
 from ..operators import backbone, batches, encoders, labels, oversampling, parsers, split, staging, training
 from ..sources.taxdump import read_taxa
@@ -129,13 +128,6 @@ def t12(spark, sf):
     return labels.label_space(rows.where("not synthetic"), 3)
 
 
-@query("T16_fingerprint")
-def t16(spark, sf):
-    """The fold over ordered hashes; the driver sees one hash at a time."""
-    ordered = hashed(spark, sf).select("seq_hash").orderBy("seq_hash")
-    return spark.createDataFrame([(fingerprint(bytes(r.seq_hash) for r in ordered.toLocalIterator()),)], "fingerprint string")
-
-
 @query("T22_batches_in_order", f"SELECT batch, count(*) AS n, max(length) AS longest FROM ({BUCKETS}) GROUP BY batch")
 def t22(spark, sf):
     rows = batches.bucket_by_length(sequences(spark, sf), ["doc_id"], 16, 8)

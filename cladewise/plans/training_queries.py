@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 
 from ..functions import storage
-from ..functions.schema import LEVELS, Oversampling
+from ..functions.schema import LEVELS, RANKS, Oversampling
 from ..operators import batches, labels, oversampling, reports
 from .adapters import SEQUENCES_SQL, balancing_sql, dataset_sql, key_sql, read, sequences
 from .catalog import query
@@ -157,10 +157,17 @@ def t18(spark, sf):
     return batches.validation_subset(dataset(spark, sf), 50, 7, impl="md5").select("seq_hash")
 
 
-@query("T19_weighted_sample")
+SAMPLE = 1000
+UNITS = f"SELECT seq_hash, CAST(round(pow(f, -0.5) * (count(*) OVER () / sum(pow(f, -0.5)) OVER ()) * {batches.WEIGHT_UNITS}) AS BIGINT) AS units FROM (SELECT seq_hash, CAST(count(*) OVER (PARTITION BY {balancing_sql()}) AS DOUBLE) AS f FROM ({dataset_sql()}) WHERE split = 'train')"
+LAID = "SELECT seq_hash, units, CAST(sum(units) OVER (ORDER BY seq_hash) AS BIGINT) AS upto FROM units WHERE units > 0"
+POINTS = f"SELECT i AS draw, CAST(floor(CAST('0x' || substr(md5(CAST(i AS STRING) || '|7|sample'), 1, 15) AS BIGINT) / 1152921504606846976.0 * total) AS BIGINT) AS point FROM range({SAMPLE}) r(i), (SELECT max(upto) AS total FROM laid)"
+
+
+@query("T19_weighted_sample", f"WITH units AS ({UNITS}), laid AS ({LAID}), points AS ({POINTS}) SELECT draw, seq_hash FROM points JOIN laid ON point >= upto - units AND point < upto")
 def t19(spark, sf):
-    weighted = batches.sampling_weights(batches.class_frequencies(train(spark, sf)), "frequency", 0.5)
-    return batches.weighted_sample(weighted, "weight", 1000, 7, impl="md5").select("seq_hash", "copy")
+    rows = storage.materialised(train(spark, sf).select("seq_hash", *(f"`{r}`" for r in RANKS)), "train")
+    weighted = storage.materialised(batches.sampling_weights(batches.class_frequencies(rows), "frequency", 0.5).select("seq_hash", "weight"), "weighted")
+    return batches.weighted_sample(weighted, "weight", SAMPLE, 7, impl="md5").select("draw", "seq_hash")
 
 
 BUCKETS = f"SELECT *, CAST(bucket * 8 + p // 16 AS INT) AS batch, CAST(p % 16 AS INT) AS slot FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY length, ordinal) - 1 AS p FROM (SELECT *, CAST(ordinal // 128 AS INT) AS bucket FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal FROM ({SEQUENCES_SQL}))))"
@@ -180,3 +187,33 @@ def t20_turns(spark, sf):
 def t21(spark, sf):
     rows = batches.padded(batches.bucket_by_length(sequences(spark, sf), ["doc_id"], 16, 8), 2048)
     return rows.select("doc_id", "batch", "slot", "n_tokens", "width", F.md5("padded").alias("padded"))
+
+
+def uniform_sql(purpose: str) -> str:
+    return f"CAST('0x' || substr(md5(CAST(doc_id AS STRING) || '|7|{purpose}'), 1, 15) AS BIGINT) / 1152921504606846976.0"
+
+
+#: Sequences of which half, if longer, become windows of 150 to 500 letters.
+CROPPED = f"SELECT * REPLACE (CASE WHEN place IS NOT NULL THEN substr(sequence, CAST(place AS INT) + 1, size) ELSE sequence END AS sequence, CASE WHEN place IS NOT NULL THEN size ELSE length END AS length) FROM (SELECT *, CASE WHEN length > size THEN floor({uniform_sql('crop-place')} * (length - size + 1)) END AS place FROM (SELECT *, CASE WHEN {uniform_sql('crop')} < 0.5 THEN 150 + CAST(floor({uniform_sql('crop-length')} * 351) AS INT) END AS size FROM ({{}})))"
+
+
+@query("T07_crop_md5", f"SELECT doc_id, CAST(length AS INT) AS length, md5(sequence) AS sequence FROM ({CROPPED.format(SEQUENCES_SQL)})")
+def t07(spark, sf):
+    return batches.cropped(sequences(spark, sf), 0.5, 150, 500, 7, "doc_id", "md5").select("doc_id", F.col("length").cast("int").alias("length"), F.md5("sequence").alias("sequence"))
+
+
+@query("T21_cropped_batches_md5", f"SELECT doc_id, batch, slot, n_tokens, width, md5(rpad(substr(sequence, 1, 400), CAST(width AS INT), '-')) AS padded FROM (SELECT *, least(length, 400) AS n_tokens, max(least(length, 400)) OVER (PARTITION BY batch) AS width FROM ({CROPPED.format(BUCKETS)}))")
+def t21_cropped(spark, sf):
+    dealt = batches.bucket_by_length(sequences(spark, sf), ["doc_id"], 16, 8)
+    rows = batches.padded(batches.cropped(dealt, 0.5, 150, 500, 7, "doc_id", "md5"), 400)
+    return rows.select("doc_id", "batch", "slot", "n_tokens", "width", F.md5("padded").alias("padded"))
+
+
+@query("T16_fingerprint", f"SELECT md5(coalesce(string_agg(g || ':' || d, ',' ORDER BY g), '')) AS fingerprint FROM (SELECT g, md5(string_agg(h || ':' || n, ',' ORDER BY h)) AS d FROM (SELECT substr(seq_hash, 1, {batches.FINGERPRINT_DIGITS}) AS g, seq_hash AS h, count(*) AS n FROM ({dataset_sql()}) GROUP BY 1, 2) GROUP BY g)")
+def t16(spark, sf):
+    return batches.fingerprint(dataset(spark, sf))
+
+
+@query("A07_chunks", "SELECT CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS BIGINT) AS chunk, o_orderkey FROM orders")
+def a07(spark, sf):
+    return batches.chunked(read(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"], 1000).select("chunk", "o_orderkey")

@@ -1,5 +1,6 @@
 """The curation operators on small rows."""
 
+import hashlib
 import gzip
 import json
 import random
@@ -182,6 +183,55 @@ def test_batches(spark):
     assert batches.validation_subset(keyed, 7, 1, "h").count() == 7 and batches.validation_subset(keyed, 99, 1, "h").count() == 50
 
 
+def test_weighted_sample_is_exact(spark, monkeypatch):
+    """Each draw takes the row it falls on, a heavy row over many cells and rows without weight as well."""
+    monkeypatch.setattr(batches, "MOST_CELLS", 7)
+    weights = [0.0, 2.5, None, 40.0, 0.25, -1.0, 1.0, 0.0, 3.0]
+    rows = spark.createDataFrame([(f"k{i}", w, "x" * i) for i, w in enumerate(weights)], "k string, w double, extra string")
+    got = {r.draw: r.k for r in batches.weighted_sample(rows, "w", 500, 3, "k", "md5").collect()}
+    units = [max(0, round((w or 0) * batches.WEIGHT_UNITS)) for w in weights]
+    for i in range(500):
+        point = int(int(hashlib.md5(f"{i}|3|sample".encode()).hexdigest()[:15], 16) / 2**60 * sum(units))
+        at = next(k for k in range(len(units)) if sum(units[: k + 1]) > point)
+        assert got[i] == f"k{at}"
+    assert len(got) == 500
+    assert batches.weighted_sample(rows, "w", 0, 3, "k", "md5").count() == 0
+    assert batches.weighted_sample(rows.where("w = 0"), "w", 5, 3, "k", "md5").count() == 0
+    with pytest.raises(ValueError):
+        batches.weighted_sample(rows, "w", -1, 3, "k")
+
+
+def test_crops(spark):
+    rows = spark.createDataFrame([(f"k{i}", "".join(random.Random(i).choices("ACGT", k=i))) for i in range(60)], "k string, sequence string").withColumn("length", F.length("sequence"))
+    was = {r.k: r.sequence for r in rows.collect()}
+    for impl in ("md5", "blake2b"):
+        made = {r.k: r for r in batches.cropped(rows, 1.0, 5, 20, 1, "k", impl).collect()}
+        assert all(r.length == len(r.sequence) and r.sequence in was[k] for k, r in made.items())
+        assert all(r.sequence == was[k] for k, r in made.items() if len(was[k]) <= 5)
+        assert all(5 <= r.length <= 20 for k, r in made.items() if len(was[k]) > 20)
+        assert len({r.length for r in made.values()}) > 8
+    assert batches.cropped(rows, 0.0, 5, 20, 1, "k", "md5").where(F.length("sequence") != F.substring("k", 2, 3).cast("int")).count() == 0
+    with pytest.raises(ValueError):
+        batches.cropped(rows, 0.5, 9, 8, 1, "k")
+
+
+def test_chunks(spark):
+    rows = spark.createDataFrame([(i,) for i in range(25)], "i int").repartition(5)
+    told = list(batches.chunks(rows, ["i"], 10))
+    assert [len(c) for c in told] == [10, 10, 5] and [r.i for c in told for r in c] == list(range(25))
+    assert list(batches.chunks(rows.where("i < 0"), ["i"], 10)) == []
+    with pytest.raises(ValueError):
+        batches.chunked(rows, ["i"], 0)
+
+
+def test_fingerprint(spark):
+    hashes = [hashlib.md5(str(i % 40).encode()).hexdigest() for i in range(60)]
+    told = lambda x, parts=3: batches.fingerprint(spark.createDataFrame([(h,) for h in x], "seq_hash string").repartition(parts)).first()[0]
+    assert told(hashes) == told(hashes[::-1], 5) != told(hashes[1:])
+    assert told(hashes[:40]) != told(hashes[:40] + hashes[:1])
+    assert told([]) == hashlib.md5(b"").hexdigest()
+
+
 @pytest.mark.parametrize("bad", [lambda: Filters(0, 5), lambda: Filters(5, 4), lambda: Split(validation=0.6, test=0.5), lambda: Split(seed=-1), lambda: Oversampling(rank="tribe"), lambda: Oversampling(floor=0), lambda: Mutation(substitution=2), lambda: Training(epochs=0), lambda: encoders.Cnn(kernel=4), lambda: encoders.Transformer(width=60), lambda: encoders.Heads(()), lambda: remote.RemoteFile("http://x.org/a"), lambda: remote.RemoteFile("https://x.org/a", "AB"), lambda: remote.PagedQuery(" ", "a.gz")])
 def test_configurations(bad):
     with pytest.raises(ValueError):
