@@ -3,6 +3,7 @@
 import hashlib
 import gzip
 import json
+import math
 import random
 import tarfile
 from pathlib import Path
@@ -330,6 +331,36 @@ def test_search(tmp_path):
         training.choice(tmp_path / "trials.json", 99)
 
 
+def test_search_goes_on(tmp_path):
+    """A search stopped after some trials ends as one that wasn't."""
+    def one(config, watch):
+        for e in range(1, config.epochs + 1):
+            if watch(training.Epoch(e, 1.0, 1.0, {"genus": config.sampling_power * e if config.warmup < 0.08 else math.nan, "species": 0.0})):
+                break
+
+    whole = training.search(one, Training(epochs=3), str(tmp_path / "a"), trials=12, seed=4)
+    training.search(one, Training(epochs=3), str(tmp_path / "b"), trials=5, seed=4)
+    again = training.search(one, Training(epochs=3), str(tmp_path / "b"), trials=12, seed=4)
+    assert json.dumps(again) == json.dumps(whole) and len({t["params"]["learning_rate"] for t in again}) == 12
+    lacking = [t for t in whole if t["params"]["warmup"] >= 0.08]
+    assert lacking and all(t["state"] == "PRUNED" and len(t["epochs"]) == 1 for t in lacking)
+    assert json.loads((tmp_path / "b" / "best.json").read_text())["params"]["warmup"] < 0.08
+    assert len(training.search(one, Training(epochs=3), str(tmp_path / "b"), trials=3, seed=4)) == 12
+
+
+def test_slopes_add_up_over_any_partitions(spark, monkeypatch):
+    monkeypatch.setattr(training, "FAN", 3)
+    rng = np.random.RandomState(1)
+    x, y, w = rng.randn(60, 4), rng.randint(0, 3, (60, 2)), rng.rand(60)
+    rows = [(a.tolist(), b.tolist(), float(c)) for a, b, c in zip(x, y, w)]
+    params = training.init(4, [3, 3], 2, 0)
+    grads, told = training.slopes(params, x, y, w, 2)
+    for n in (1, 3, 10):
+        frame = spark.createDataFrame(rows, "features array<double>, targets array<int>, weight double").repartition(n)
+        got, sums = training.summed(frame, params, 2)
+        assert all(np.allclose(got[k], grads[k]) for k in grads) and np.allclose(sums, told)
+
+
 def test_text_helpers():
     assert training.duration(59) == "59 s" and training.duration(125) == "2 m 05 s" and training.duration(7260) == "2 h 01 m"
     assert training.bar(1, 2, 4) == "██░░"
