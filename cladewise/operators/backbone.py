@@ -9,8 +9,6 @@ from ..functions.exprs import lineage_key, split_organism, truncated
 from ..functions.schema import RANKS
 
 
-
-
 def lineage() -> Column:
     return F.struct(*(F.col(f"`{r}`").alias(r) for r in RANKS))
 
@@ -74,7 +72,7 @@ def kingdoms(entries: DataFrame) -> DataFrame:
 
 
 def first_match(rows: DataFrame, unique: DataFrame, ids: list[str]) -> DataFrame:
-    """(ids, mapped): the lineage of the first candidate of each row that the backbone knows in the row's domain.
+    """(ids, mapped): the lineage of the first candidate of each row that the backbone knows in the row's domain.
 
     Each candidate meets its one entry (kind, name, domain); a name that many rows ask
     for is split by Spark's skew join, as the backbone has it once. The row's choice is
@@ -85,6 +83,12 @@ def first_match(rows: DataFrame, unique: DataFrame, ids: list[str]) -> DataFrame
     return hits.groupBy(*ids).agg(F.min_by("lineage", "pos").alias("mapped"))
 
 
+def located(rows: DataFrame, unique: DataFrame, ids: list[str]) -> DataFrame:
+    """Rows with `lineage`: that of their first match, species before other candidates as they stand, else their domain alone."""
+    alone = F.struct(F.col("domain_name").alias("domain"), *(F.lit(None).cast("string").alias(r) for r in RANKS[1:]))
+    return rows.join(first_match(rows, unique, ids), ids, "left").withColumn("lineage", F.coalesce("mapped", alone)).drop("mapped")
+
+
 def harmonise(parsed: DataFrame, entries: DataFrame) -> DataFrame:
     """Parsed rows with seven ranks and a kingdom: J04 to J07 in one set of joins for all sources.
 
@@ -94,9 +98,8 @@ def harmonise(parsed: DataFrame, entries: DataFrame) -> DataFrame:
     """
     unique = unique_in_domain(entries)
     rows = parsed.withColumn("_row", F.struct("source", "marker", "ordinal"))
-    mapped = first_match(rows.where("exclusion is null"), unique, ["_row"])
-    alone = F.struct(F.col("domain_name").alias("domain"), *(F.lit(None).cast("string").alias(r) for r in RANKS[1:]))
-    rows = rows.join(mapped, "_row", "left").withColumn("lineage", F.coalesce("own", "mapped", alone)).drop("mapped", "own")
+    rows = located(rows.withColumn("candidates", F.when(F.col("exclusion").isNull(), F.col("candidates"))), unique, ["_row"])
+    rows = rows.withColumn("lineage", F.coalesce("own", "lineage")).drop("own")
     name = F.when(F.col("lineage")["genus"].isNotNull(), split_organism(F.coalesce("organism", F.lit("")))["species"])
     rows = rows.withColumn("_species", name)
     species = unique.where("kind = 'species'").select(F.col("name").alias("_species"), F.col("domain").alias("_domain"), F.col("lineage").alias("_full"))
@@ -109,4 +112,4 @@ def harmonise(parsed: DataFrame, entries: DataFrame) -> DataFrame:
     return rows.select(*[c for c in parsed.columns if c not in ("own", "own_kingdom", "candidates", "organism", "domain_name")], *(F.col("lineage")[r].alias(r) for r in RANKS), "kingdom")
 
 
-__all__ = ["entries_of_lineages", "entries_of_records", "first_match", "harmonise", "key_of", "kingdoms", "lineage_key", "size", "unique_in_domain"]
+__all__ = ["entries_of_lineages", "entries_of_records", "first_match", "harmonise", "key_of", "kingdoms", "lineage_key", "located", "size", "unique_in_domain"]

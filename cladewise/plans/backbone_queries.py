@@ -59,6 +59,19 @@ def j04(spark, sf):
     return found.select("id", F.col("domain_name").alias("domain"), backbone.key_of(F.col("mapped")).alias("lineage_key"))
 
 
+NARROW = f"SELECT DISTINCT accession || '|' || {KEY} AS id, {NAMES} FROM ({STAGED_SQL})"
+
+
+@query("J05_species_first", f"WITH n AS ({NARROW}), u AS ({UNIQUE_SQL}) SELECT n.id, coalesce(s.lineage_key, g.lineage_key, coalesce('+' || n.domain, '-') || ';-;-;-;-;-;-') AS lineage_key FROM n LEFT JOIN u s ON s.kind = 'species' AND s.name = n.species AND s.domain = n.domain LEFT JOIN u g ON g.kind = 'taxon' AND g.name = n.genus AND g.domain = n.domain")
+def j05(spark, sf):
+    """Species, then genus, then the domain alone."""
+    rows = staged(spark, sf).select("accession", *(f"`{r}`" for r in RANKS)).distinct()
+    wanted = F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(r).alias("name")) for kind, r in (("species", "species"), ("taxon", "genus"))))
+    asked = rows.select(F.concat_ws("|", "accession", lineage_key()).alias("id"), F.col("domain").alias("domain_name"), wanted.alias("candidates"))
+    found = backbone.located(asked, backbone.unique_in_domain(entries(spark, sf)), ["id"])
+    return found.select("id", backbone.key_of(F.col("lineage")).alias("lineage_key"))
+
+
 @query("J07_kingdom_of", f"SELECT lineage_key, any_value(kingdom) AS kingdom FROM ({ENTRIES_SQL}) WHERE kingdom IS NOT NULL GROUP BY 1 HAVING count(DISTINCT kingdom) = 1")
 def j07(spark, sf):
     return backbone.kingdoms(entries(spark, sf))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 
 from ..functions import storage
 from ..operators import parsers
@@ -37,6 +37,26 @@ def a13(spark, sf):
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
+@query("A14_lazy_sink", "SELECT o_orderkey, o_custkey, year(o_orderdate) AS year FROM orders WHERE o_totalprice > 100000")
+def a14(spark, sf):
+    """A plan that is only run by its writer; the rows it wrote."""
+    path = storage.scratch(spark, "lazy")
+    rows = read(spark, sf, "orders").where("o_totalprice > 100000").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year"))
+    storage.write_parquet(rows, path)
+    return spark.read.parquet(path)
+
+
+@query("A15_sorted_sink", "SELECT count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys, 0 AS overlaps FROM customer")
+def a15(spark, sf):
+    """Rows written in the order of a column: how many files begin before the one before them ends."""
+    path = storage.scratch(spark, "sorted")
+    storage.write_parquet(read(spark, sf, "customer"), path, sort=["c_mktsegment", "c_custkey"])
+    key = F.struct("c_mktsegment", "c_custkey")
+    files = spark.read.parquet(path).groupBy(F.input_file_name().alias("file")).agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("keys"))
+    before = files.withColumn("before", F.lag("high").over(Window.orderBy("file")))  # a row for each file
+    return before.agg(F.sum("n").alias("n"), F.sum("keys").alias("keys"), F.count_if(F.col("low") < F.col("before")).cast("int").alias("overlaps"))
+
+
 @query("A07_batches", "SELECT CAST(count(*) AS BIGINT) AS n FROM orders")
 def a07(spark, sf):
     """Rows in Arrow batches of bounded size."""
