@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, counts, graph, packing, secrets, simhash, sql, topk, toxicity, warc
+from . import bpe, chat, counts, graph, middle, packing, ranked, secrets, simhash, sql, topk, toxicity, warc
 
 #: Sizes that the queries are run with.
 SEQUENCE = 2048
@@ -75,10 +75,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_tokens(docs, vocabulary("byte_bpe_50k.json"), TOKEN_LIMIT)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), most=50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
     """Tokenizers, XXH64 with a seed, graphs and classifier chains are beyond SQL; their queries are tested against plain versions."""
-    return {"op3_exact_top_k": sql.TOP_K, "op6_secret_scans": sql.secret_scans(), "op8_chat_formatting": sql.CHAT, "op9_warc": sql.WARC}
+    return {"op3_exact_top_k": sql.TOP_K, "op6_secret_scans": sql.secret_scans(), "op8_chat_formatting": sql.CHAT, "op9_warc": sql.WARC, "op11_fill_in_middle": sql.MIDDLE, "op13_ranked_search": sql.RANKED}

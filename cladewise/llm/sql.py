@@ -22,6 +22,27 @@ SELECT page_id, url, bytes AS payload_bytes, sha1(body) AS payload_digest, CASE
 FROM (SELECT *, CASE WHEN bytes >= 1000 THEN max(page_id) OVER (PARTITION BY body) ELSE page_id END AS first FROM (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS body, CAST(strlen(coalesce(html, '')) AS BIGINT) AS bytes FROM pages))
 """
 
+MIDDLE = """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || doc_id) AS digest FROM documents),
+d AS (SELECT *, CAST('0x' || substr(digest, 1, 8) AS BIGINT) % (n + 1) AS x, CAST('0x' || substr(digest, 9, 8) AS BIGINT) % (n + 1) AS y, CAST('0x' || substr(digest, 17, 8) AS BIGINT) % 100 AS plain, CAST('0x' || substr(digest, 25, 8) AS BIGINT) % 100 AS spm FROM h),
+f AS (SELECT *, least(x, y) AS a, greatest(x, y) AS b, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR plain >= 90 THEN 'plain' WHEN spm < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, substr(text, 1, a) AS prefix, substr(text, a + 1, b - a) AS middle, substr(text, b + 1) AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p
+"""
+
+RANKED = r"""
+WITH words AS (SELECT kind, id, row, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+FROM (SELECT 'd' AS kind, doc_id AS id, row_number() OVER () AS row, text FROM documents UNION ALL SELECT 'i', item_id, row_number() OVER (), text FROM benchmark)),
+tf AS (SELECT id, row, term, CAST(count(*) AS BIGINT) AS tf FROM words WHERE kind = 'd' GROUP BY ALL),
+own AS (SELECT row, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY row),
+told AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS length FROM own),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, told GROUP BY term, docs),
+s AS (SELECT i.id AS item_id, i.row AS item, tf.id AS doc_id, tf.row, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // length)))) AS BIGINT) AS score
+FROM (SELECT DISTINCT id, row, term FROM words WHERE kind = 'i') i JOIN tf ON i.term = tf.term JOIN w ON w.term = tf.term JOIN own ON own.row = tf.row, told GROUP BY ALL)
+SELECT item_id, CAST(r AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS r FROM s WHERE score > 0) WHERE r <= 50
+"""
+
 
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
