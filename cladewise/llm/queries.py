@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, counts, graph, middle, packing, ranked, secrets, simhash, sql, topk, toxicity, warc
+from . import bpe, chat, counts, graph, middle, packing, ranked, secrets, simhash, sql, topk, toxicity, warc, wrapper
 
 #: Sizes that the queries are run with.
 SEQUENCE = 2048
@@ -79,6 +79,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return middle.report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), most=50)
 
