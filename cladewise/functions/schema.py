@@ -118,8 +118,14 @@ class Training:
     bucket_window: int = 64
     log_every: int = 500
     seed: int = 20260923
+    samples: int | None = None
+    crop_probability: float = 0.5
+    crop_min: int = 150
+    crop_max: int = 500
 
     def __post_init__(self) -> None:
+        _need(self.samples is None or self.samples >= 1, "samples must be positive")
+        _need(0 <= self.crop_probability <= 1 and 1 <= self.crop_min <= self.crop_max, "crops need a probability in [0, 1] and 1 <= crop_min <= crop_max")
         _need(min(self.epochs, self.batch_size, self.max_length, self.eval_batch, self.bucket_window, self.log_every) >= 1, "sizes must be positive")
         _need(self.learning_rate > 0 and self.weight_decay >= 0 and self.clip > 0, "rates must be positive")
         _need(0 <= self.seed < 2**64, "the seed must fit 64 bits")

@@ -6,7 +6,10 @@ import json
 import os
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,9 +31,31 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+class _Scopes(threading.local):
+    def __init__(self):
+        self.paths: list[list[str]] = []
+
+
+_scopes = _Scopes()
+
+
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, what `materialised` wrote within, in this thread; no plan may read it after."""
+    _scopes.paths.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.paths.pop():
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialised(df: DataFrame, name: str = "table") -> DataFrame:
     """df written once to the shared folder and read back: what depends on it twice sees the same rows, also after a lost executor."""
     path = scratch(df.sparkSession, name)
+    if _scopes.paths:
+        _scopes.paths[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 

@@ -7,7 +7,7 @@ import pyspark.sql.functions as F
 from ..functions import storage
 from ..functions.exprs import tokens
 from ..functions.schema import LEVELS, RANKS, Mutation, Oversampling, Training
-from ..operators import backbone, batches, encoders, labels, oversampling, parsers, split, staging, training
+from ..operators import backbone, batches, encoders, labels, oversampling, parsers, split, staging, trainer, training
 from ..sources.taxdump import read_taxa
 from .adapters import STAGED_SQL, balancing_sql, dataset_sql, key_sql, merged_sql, q, read, sequences, staged
 from .catalog import query
@@ -167,6 +167,40 @@ def c07(spark, sf):
     return spark.createDataFrame([(e.epoch, e.loss, e.val_loss, e.accuracy["domain"]) for e in history], "epoch int, loss double, val_loss double, domain_accuracy double")
 
 
+def trained(spark, sf, encoder, epochs=1):
+    """An encoder trained on mini-batches over all training rows of the dataset: (weights, history, net, validation rows)."""
+    coded, held, sizes = learnable(spark, sf)
+    lengths = storage.materialised(coded.withColumn("length", F.length("sequence")), "coded")
+    heads = encoders.Heads(tuple(sizes), 8)
+    config = Training(epochs=epochs, batch_size=64, max_length=256, learning_rate=0.01, log_every=1000, crop_min=64, crop_max=128)
+    return *trainer.train(lengths, storage.materialised(held, "held"), encoder, heads, config, workers=trainer.most_tasks(spark)), trainer.Net(encoder, heads), held
+
+
+def history_frame(spark, history):
+    rows = [(r.epoch, r.loss, r.val_loss, *(r.accuracy[n] for n in LEVELS)) for r in history]
+    return spark.createDataFrame(rows, "epoch int, loss double, val_loss double, " + ", ".join(f"{n}_accuracy double" for n in LEVELS))
+
+
+@query("C07_minibatch_history")
+def c07_minibatches(spark, sf):
+    """Weighted draws, length buckets, crops and barrier stages; the history of two epochs of a small CNN."""
+    return history_frame(spark, trained(spark, sf, encoders.Cnn(8, (8, 16), 5, (1, 2), 16), 2)[1])
+
+
+@query("C02_trained_transformer")
+def c02_trained(spark, sf):
+    """The history of an epoch of a small transformer."""
+    return history_frame(spark, trained(spark, sf, encoders.Transformer(8, 16, 8, 8, 1, 2, 2))[1])
+
+
+@query("C08_trained_predictions")
+def c08_trained(spark, sf):
+    """What the CNN of one epoch says of each validation row."""
+    w, _, net, held = trained(spark, sf, encoders.Cnn(8, (8, 16), 5, (1, 2), 16))
+    rows = held.select("seq_hash", tokens("sequence").alias("tokens"))
+    return encoders.predict(rows, w, net.encoder, net.heads, threshold=0.05, max_length=256)
+
+
 @query("C08_predictions")
 def c08(spark, sf):
     coded, held, sizes = learnable(spark, sf)
