@@ -172,7 +172,7 @@ def trained(spark, sf, encoder, epochs=1):
     coded, held, sizes = learnable(spark, sf)
     lengths = storage.materialised(coded.withColumn("length", F.length("sequence")), "coded")
     heads = encoders.Heads(tuple(sizes), 8)
-    config = Training(epochs=epochs, batch_size=64, max_length=256, learning_rate=0.01, log_every=1000, crop_min=64, crop_max=128)
+    config = Training(epochs=epochs, batch_size=64, learning_rate=0.01, log_every=1000, crop_min=64, crop_max=128)
     return *trainer.train(lengths, storage.materialised(held, "held"), encoder, heads, config, workers=trainer.most_tasks(spark)), trainer.Net(encoder, heads), held
 
 
@@ -198,7 +198,7 @@ def c08_trained(spark, sf):
     """What the CNN of one epoch says of each validation row."""
     w, _, net, held = trained(spark, sf, encoders.Cnn(8, (8, 16), 5, (1, 2), 16))
     rows = held.select("seq_hash", tokens("sequence").alias("tokens"))
-    return encoders.predict(rows, w, net.encoder, net.heads, threshold=0.05, max_length=256)
+    return encoders.predict(rows, w, net.encoder, net.heads, threshold=0.05)
 
 
 @query("C08_predictions")
