@@ -10,10 +10,11 @@ from collections.abc import Sequence
 from dataclasses import replace
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+from .functions import storage
 from .functions.schema import LEVELS, Oversampling, Training
-from .operators import labels, metrics, training
+from .operators import labels, metrics, trainer, training, tuning
 from .plans import build as plan
 from .sources import remote
 from .sources.fasta import DataError
@@ -38,8 +39,13 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--hours", type=float)
             c.add_argument("--seed", type=int, default=20260923)
             c.add_argument("--output")
+            c.add_argument("--architecture", choices=("kmer", *sorted(tuning.SPACES)), default="kmer")
+            c.add_argument("--samples-per-epoch", type=int)
+            c.add_argument("--workers", type=int, choices=(1, 2, 4, 8), default=1, help="tasks that share a batch")
         if name == "search":
             c.add_argument("--trials", type=int, default=30)
+            c.add_argument("--together", type=int, default=1, help="trials at once")
+            c.add_argument("--storage", help="the search's journal")
         if name == "train":
             c.add_argument("--params", required=True)
             c.add_argument("--trial", type=int)
@@ -87,9 +93,12 @@ def _learn(spark: SparkSession, layout: plan.Layout, args: argparse.Namespace) -
     sizes = {r["level"]: r["n"] for r in labels.level_sizes(data["space"]).collect()}  # a row for each level
     widths = [max(1, sizes.get(n, 0)) for n in LEVELS]
     deadline = time.monotonic() + args.hours * 3600 if args.hours else float("inf")
-    config = Training(epochs=args.epochs, batch_size=args.batch_size, seed=args.seed)
-    held = training.prepared(data["validation"])
+    config = Training(epochs=args.epochs, batch_size=args.batch_size, seed=args.seed, samples=args.samples_per_epoch)
     folder = args.output or f"{layout.top}/models/{args.command}"
+    if args.architecture != "kmer":
+        _learn_encoder(spark, data, tuple(widths), config, deadline, folder, args)
+        return
+    held = training.prepared(data["validation"])
 
     def fit(c: Training, watch, resume: bool = False, into: str | None = None):
         return training.fit(training.prepared(data["train"], power=c.sampling_power), held, widths, c, into, watch=watch, resume=resume, deadline=deadline)
@@ -99,21 +108,45 @@ def _learn(spark: SparkSession, layout: plan.Layout, args: argparse.Namespace) -
         return
     config = replace(config, **training.choice(args.params, args.trial), log_every=args.log_every)
     params, history = fit(config, lambda e: LOG.info("epoch %d: loss %.4f, val_loss %.4f %s", e.epoch, e.loss, e.val_loss, training.bar(e.epoch, config.epochs)), args.resume, folder)
-    extra = ["marker"] if "marker" in data["validation"].columns else []
-    keyed = data["validation"].select("seq_hash", *extra)
     import pyspark.sql.functions as F
 
     targets = F.array(*(F.col(f"y_{n}").cast("int") for n in LEVELS))
     rows = data["validation"].select("seq_hash", training.kmer_shares("sequence").alias("features"), targets.alias("targets"))
-    said = training.predictions(rows, params, len(LEVELS)).join(keyed, "seq_hash")
+    _report(data["validation"], training.predictions(rows, params, len(LEVELS)), folder)
+    LOG.info("%d epochs", len(history))
+
+
+def _learn_encoder(spark: SparkSession, data: dict, sizes: tuple[int, ...], config: Training, deadline: float, folder: str, args: argparse.Namespace) -> None:
+    if args.command == "search":
+        journal = args.storage or f"{folder}/{args.architecture.lower()}.journal"
+        asked = tuning.Search(args.trials, args.hours * 3600 if args.hours else None, args.epochs, together=args.together, seed=args.seed)
+        tuning.search_encoders(data["train"], data["validation"], sizes, args.architecture, config, journal, asked, workers=args.workers)
+        return
+    encoder, heads, told = tuning.setup(training.choice(args.params, args.trial), args.architecture, sizes, replace(config, log_every=args.log_every))
+
+    def on_steps(epoch: int, step: int, loss: float, speed: float, lr: float) -> None:
+        LOG.info("epoch %d: step %d, loss %.4f, %.0f sequences/s, lr %.2e", epoch, step, loss, speed, lr)
+
+    def watch(r: trainer.Record) -> bool:
+        LOG.info("epoch %d done in %s: val loss %.4f, genus %.3f, species %.3f %s", r.epoch, training.duration(r.seconds), r.val_loss, r.accuracy["genus"], r.accuracy["species"], training.bar(r.epoch, told.epochs))
+        return False
+
+    w, history = trainer.train(data["train"], data["validation"], encoder, heads, told, folder, workers=args.workers, resume=args.resume, watch=watch, on_steps=on_steps, deadline=deadline)
+    _report(data["validation"], trainer.predictions(data["validation"], w, trainer.Net(encoder, heads), told.max_length), folder)
+    LOG.info("%d epochs", len(history))
+
+
+def _report(rows: DataFrame, said: DataFrame, folder: str) -> None:
+    """Report.json and report.txt, by marker where there is one."""
+    import pyspark.sql.functions as F
+
+    extra = ["marker"] if "marker" in rows.columns else []
+    said = said.join(rows.select("seq_hash", *extra), "seq_hash")
     said = said if extra else said.withColumn("marker", F.lit("all"))
     report = [r.asDict() for r in metrics.group_reports(said).collect()] if extra else [r.asDict() for r in metrics.level_report(metrics.class_counters(said)).collect()]
     report.sort(key=lambda r: (r.get("marker", ""), LEVELS.index(r["level"])))
-    from .functions import storage
-
     storage.write_json(Path(folder) / "report.json", report)
     storage.write_text(Path(folder) / "report.txt", training.table(report) + "\n")
-    LOG.info("%d epochs", len(history))
 
 
 if __name__ == "__main__":

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+from dataclasses import replace
+
 import pyspark.sql.functions as F
 
 from ..functions import storage
 from ..functions.exprs import tokens
 from ..functions.schema import LEVELS, RANKS, Mutation, Oversampling, Training
-from ..operators import backbone, batches, encoders, labels, oversampling, parsers, split, staging, trainer, training
+from ..operators import backbone, batches, encoders, labels, oversampling, parsers, split, staging, trainer, training, tuning
 from ..sources.taxdump import read_taxa
 from .adapters import STAGED_SQL, balancing_sql, dataset_sql, key_sql, merged_sql, q, read, sequences, staged
 from .catalog import query
@@ -187,6 +190,19 @@ def c07_minibatches(spark, sf):
     return history_frame(spark, trained(spark, sf, encoders.Cnn(8, (8, 16), 5, (1, 2), 16), 2)[1])
 
 
+@query("C10_search_trials")
+def c10(spark, sf):
+    """Two trials at once over all training rows, drawn, judged and journaled as a search does."""
+    coded, held, sizes = learnable(spark, sf)
+    rows, held = storage.materialised(coded.withColumn("length", F.length("sequence")), "coded"), storage.materialised(held, "held")
+    base = Training(epochs=1, batch_size=128, crop_min=64, crop_max=128)
+    space = {n: tuning.SHARED[n] for n in ("dropout", "weight_decay", "sampling_power")}
+    made = lambda p: (encoders.Transformer(8, 16, 8, 8, 1, 2, 2, p["dropout"]), encoders.Heads(tuple(sizes), 8, p["dropout"]), replace(base, learning_rate=0.01, weight_decay=p["weight_decay"], sampling_power=p["sampling_power"]))
+    with tempfile.TemporaryDirectory() as folder:  # the driver's own files
+        done = tuning.search_encoders(rows, held, tuple(sizes), "Transformer", base, f"{folder}/journal", tuning.Search(trials=2, epochs=1, together=2, levels=("domain", "kingdom")), space=space, made=made)
+    return spark.createDataFrame([(t.number, t.state, t.value, t.bracket, *(t.params[n] for n in space)) for t in done.values()], "number int, state string, value double, bracket int, " + ", ".join(f"{n} double" for n in space))
+
+
 @query("C02_trained_transformer")
 def c02_trained(spark, sf):
     """The history of an epoch of a small transformer."""
