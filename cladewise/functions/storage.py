@@ -10,6 +10,7 @@ import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import wraps
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +52,17 @@ def cleaned(spark: SparkSession) -> Iterator[None]:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def cleaning(work):
+    """work(spark, ...) that leaves no scratch table behind; what it returns must not read any."""
+
+    @wraps(work)
+    def run(spark, *args, **more):
+        with cleaned(spark):
+            return work(spark, *args, **more)
+
+    return run
+
+
 def materialised(df: DataFrame, name: str = "table") -> DataFrame:
     """df written once to the shared folder and read back: what depends on it twice sees the same rows, also after a lost executor."""
     path = scratch(df.sparkSession, name)

@@ -9,6 +9,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import types as T
 
+from ..functions import storage
 from ..functions.exprs import balancing_key, count_ambiguous
 from ..functions.hashing import copy_seed, sequence_hash
 from ..functions.schema import UNKNOWN, Mutation, Oversampling
@@ -32,9 +33,10 @@ def apportion(plan: DataFrame, budgets: DataFrame) -> DataFrame:
 
     Each class gets the whole part of its share; what is left goes, one by one, to the
     largest fractions, ties to the smaller key. A group's classes are spread over many
-    tasks.
+    tasks. The plan with its budgets, a row for each class that wants copies, is written
+    once: numbering sorts it, and each sum reads it again.
     """
-    rows = plan.join(budgets, "group")
+    rows = storage.materialised(plan.join(budgets, "group"), "plan")
     rows = rows.join(rows.groupBy("group").agg(F.sum("copies").alias("_total")), "group")
     # whole numbers throughout: copies * budget = whole * total + rest
     rows = rows.withColumn("_whole", F.expr("copies * budget div _total")).withColumn("_rest", F.expr("copies * budget % _total"))
@@ -56,16 +58,29 @@ def distribute(members: DataFrame) -> DataFrame:
     return members.withColumn("copies", F.expr("allotted div size") + (place <= F.expr("allotted % size")).cast("long")).where("copies > 0")
 
 
+def named(train: DataFrame, rank: str, *more: str) -> DataFrame:
+    """(more, group, key) of each row: its kingdom or unknown, and its class."""
+    rows = train.select(*more, F.coalesce("kingdom", F.lit(UNKNOWN)).alias("group"), balancing_key(rank).alias("_key"))
+    return rows.select(*more, "group", F.concat_ws("|", "group", "_key").alias("key"))
+
+
+def allotted(members: DataFrame, config: Oversampling) -> tuple[DataFrame, DataFrame]:
+    """Of rows with group and key: the classes' sizes, written, and what the classes get; budgets are sums of sizes."""
+    sizes = storage.materialised(members.groupBy("group", "key").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    budget = sizes.groupBy("group").agg(F.floor(F.lit(config.max_ratio) * F.sum("size")).cast("long").alias("budget"))
+    return sizes, apportion(plan_copies(sizes, config.floor, config.max_copies), budget)
+
+
 def planned(train: DataFrame, config: Oversampling = Oversampling()) -> DataFrame:
     """(seq_hash, key, group, size, allotted, copies) of the rows that get copies.
 
     The plan is made of one row for each class; rows meet it again by their class, and
-    only those of small classes do.
+    only those of small classes do. Hashes and classes of the rows are written once, so
+    what `train` comes from is computed once.
     """
-    named = train.select("seq_hash", F.coalesce("kingdom", F.lit(UNKNOWN)).alias("group"), balancing_key(config.rank).alias("_key")).select("seq_hash", "group", F.concat_ws("|", "group", "_key").alias("key"))
-    sizes = named.groupBy("group", "key").agg(F.count(F.lit(1)).alias("size"))
-    plan = apportion(plan_copies(sizes, config.floor, config.max_copies), budgets(train, config.max_ratio))
-    return distribute(named.join(plan.where("allotted > 0").drop("copies", "budget"), ["group", "key"]))
+    members = storage.materialised(named(train, config.rank, "seq_hash"), "members")
+    _, plan = allotted(members, config)
+    return distribute(members.join(plan.where("allotted > 0").drop("copies", "budget"), ["group", "key"]))
 
 
 # Mutations
@@ -111,6 +126,17 @@ def copy_of(sequence: str, parent: bytes, copy: int, config: Oversampling) -> st
     return out if out != sequence else ("C" if sequence[0] == "A" else "A") + sequence[1:]
 
 
+def parents(dataset: DataFrame, plan: DataFrame) -> DataFrame:
+    """The training rows that get copies."""
+    return dataset.where("split = 'train'").join(plan.select("seq_hash"), "seq_hash", "left_semi")
+
+
+def fresh(made: DataFrame, dataset: DataFrame) -> DataFrame:
+    """(seq_hash, parent_seq_hash, _copy, ...) that equal no row of the dataset; of equal ones the first by parent and number."""
+    first = Window.partitionBy("seq_hash").orderBy("parent_seq_hash", "_copy")
+    return made.join(dataset.select("seq_hash"), "seq_hash", "left_anti").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+
 def synthesised(dataset: DataFrame, plan: DataFrame, config: Oversampling = Oversampling()) -> DataFrame:
     """Synthetic rows in the dataset's columns, parent_seq_hash and synthetic.
 
@@ -118,8 +144,8 @@ def synthesised(dataset: DataFrame, plan: DataFrame, config: Oversampling = Over
     so. A copy equal to any real sequence, of whatever split, is left out, and of equal
     copies the first by parent and number stays.
     """
-    parents = dataset.where("split = 'train'").join(plan.select("seq_hash", "copies"), "seq_hash")
-    numbered = parents.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1))).drop("copies")
+    numbered = parents(dataset, plan).join(plan.select("seq_hash", "copies"), "seq_hash")
+    numbered = numbered.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1))).drop("copies")
     schema = T.StructType([*numbered.schema, T.StructField("_made", T.StringType())])
 
     def run(batches):
@@ -130,10 +156,8 @@ def synthesised(dataset: DataFrame, plan: DataFrame, config: Oversampling = Over
 
     made = numbered.mapInArrow(run, schema)
     made = made.withColumn("parent_seq_hash", F.col("seq_hash")).withColumn("sequence", F.col("_made")).withColumn("seq_hash", sequence_hash("_made"))
-    first = Window.partitionBy("seq_hash").orderBy("parent_seq_hash", "_copy")
-    fresh = made.join(dataset.select("seq_hash"), "seq_hash", "left_anti").withColumn("_n", F.row_number().over(first)).where("_n = 1")
     own = {"length": F.length("sequence").cast("int"), "n_ambiguous": count_ambiguous("sequence").cast("int"), "n_records": F.lit(1).cast("int")}
-    return fresh.select(*(own.get(c, F.col(f"`{c}`")).alias(c) for c in dataset.columns), "parent_seq_hash", F.lit(True).alias("synthetic"))
+    return fresh(made, dataset).select(*(own.get(c, F.col(f"`{c}`")).alias(c) for c in dataset.columns), "parent_seq_hash", F.lit(True).alias("synthetic"))
 
 
 def training_frame(dataset: DataFrame, synthetic: DataFrame) -> DataFrame:
@@ -144,9 +168,7 @@ def training_frame(dataset: DataFrame, synthetic: DataFrame) -> DataFrame:
 
 def report(train: DataFrame, config: Oversampling = Oversampling(), n_synthetic: int | None = None) -> DataFrame:
     """(n_real, n_planned, ratio, n_classes, below_floor_before, below_floor_after); with n_synthetic also the collisions."""
-    named = train.select(F.coalesce("kingdom", F.lit(UNKNOWN)).alias("group"), balancing_key(config.rank).alias("_k")).select("group", F.concat_ws("|", "group", "_k").alias("key"))
-    sizes = named.groupBy("group", "key").agg(F.count(F.lit(1)).alias("size"))
-    plan = apportion(plan_copies(sizes, config.floor, config.max_copies), budgets(train, config.max_ratio))
+    sizes, plan = allotted(named(train, config.rank), config)
     both = sizes.join(plan.select("key", "allotted"), "key", "left").withColumn("allotted", F.coalesce("allotted", F.lit(0)))
     out = both.agg(
         F.sum("size").alias("n_real"),

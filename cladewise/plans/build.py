@@ -92,6 +92,7 @@ def stage(spark: SparkSession, layout: Layout, config: Build, sources: Sequence[
     return told
 
 
+@storage.cleaning
 def build(spark: SparkSession, layout: Layout, config: Build) -> dict:
     """Raw files to the dataset: the taxonomy, backbone sources, then the others; then one merge and split.
 
@@ -142,6 +143,7 @@ def need_dataset(layout: Layout, *paths: str) -> None:
         raise DataError("missing: " + ", ".join(lacking))
 
 
+@storage.cleaning
 def augment(spark: SparkSession, layout: Layout, config: Oversampling) -> dict:
     """The dataset's synthetic training rows and their report."""
     need_dataset(layout)
@@ -168,6 +170,7 @@ def load_training(spark: SparkSession, layout: Layout, min_count: int = 3, sampl
     return {"space": space, "train": train, "validation": labels.encode(held, space, ["seq_hash", "sequence", "length", *extra])}
 
 
+@storage.cleaning
 def cache(spark: SparkSession, layout: Layout, min_count: int = 3) -> dict[str, int]:
     """Label space and token banks, unless those there are of the same rows in order."""
     data = load_training(spark, layout, min_count)

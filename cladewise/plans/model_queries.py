@@ -96,6 +96,19 @@ def a04(spark, sf):
     return read_taxa(spark, nodes, lineages).select("domain", "phylum", "genus", "kingdom")
 
 
+@query("J15_taxid_join", "SELECT p_type AS phylum, p_brand AS \"class\", p_name AS genus, CASE p_partkey % 4 WHEN 0 THEN 'Animalia' WHEN 1 THEN 'Fungi' WHEN 2 THEN 'Plantae' ELSE 'Protista' END AS kingdom FROM part WHERE p_partkey % 5 <> 0")
+def j15_taxids(spark, sf):
+    """Parts as taxa of a dump: their ranks in one file, their names in the other, joined by id; each fifth has a rank of no interest."""
+    parts = read(spark, sf, "part")
+    line = lambda *fields: F.concat(F.concat_ws("\t|\t", *fields), F.lit("\t|")).alias("value")
+    own, none = F.col("p_partkey").cast("string"), F.lit("")
+    kingdom = F.element_at(F.array(*map(F.lit, ("Metazoa", "Fungi", "Viridiplantae", "x"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    nodes, lineages = storage.scratch(spark, "nodes"), storage.scratch(spark, "lineages")
+    parts.select(line(own, F.lit("1"), F.when(F.col("p_partkey") % 5 == 0, "clade").otherwise("genus"), F.lit("x"))).write.text(nodes)
+    parts.select(line(own, "p_name", none, none, none, none, "p_brand", "p_type", kingdom, F.lit("Eukaryota"))).write.text(lineages)
+    return read_taxa(spark, nodes, lineages).select("phylum", "class", "genus", "kingdom")
+
+
 @query("A16_report_json", f"SELECT split, count(*) AS n FROM ({dataset_sql()}) GROUP BY split")
 def a16(spark, sf):
     """A report as JSON rows, written and read back."""

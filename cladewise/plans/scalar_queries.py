@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from ..functions import exprs
 from ..functions.hashing import draw, sequence_hash
 from ..functions.schema import COMPLEMENTS, NUCLEOTIDES, Filters
-from ..operators import staging
+from ..operators import parsers, staging
 from ..operators.batches import sampling_weights
 from .adapters import SEQUENCES_SQL, STAGED_SQL, key_sql, balancing_sql, q, read, sequences, staged
 from .catalog import query
@@ -157,6 +157,12 @@ def s19(spark, sf):
     return spark.range(1000).select(F.col("id").alias("step"), F.round(exprs.learning_rate_factor("id", 1000, 50), 9).alias("factor"))
 
 
+@query("S19_learning_rate_of_orders", "SELECT o_orderkey AS step, round(CASE WHEN o_orderkey < 500 THEN (o_orderkey + 1) / 500.0 ELSE 0.5 * (1 + cos(pi() * least(1.0, (o_orderkey - 500) / 9500.0))) END, 9) AS factor FROM orders")
+def s19_orders(spark, sf):
+    """Each order's key as a step of 10 000, 500 of them warm-up."""
+    return read(spark, sf, "orders").select(F.col("o_orderkey").alias("step"), F.round(exprs.learning_rate_factor("o_orderkey", 10_000, 500), 9).alias("factor"))
+
+
 @query("S20_objective", "SELECT round(avg(acc), 9) AS objective FROM (SELECT length(p_type) % 2 AS level, avg(CASE WHEN p_size > 25 THEN 1.0 ELSE 0.0 END) AS acc FROM part GROUP BY 1)")
 def s20(spark, sf):
     from ..operators.metrics import objective
@@ -172,6 +178,15 @@ def s21(spark, sf):
     return sampling_weights(rows, "f", 0.5).select("k", F.round("weight", 8).alias("weight"))
 
 
+@query("S23_refseq_locus", "SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' voucher' END AS organism, CASE WHEN p_partkey % 3 = 2 THEN 'malformed_header' END AS exclusion FROM part")
+def s23_refseq(spark, sf):
+    """The organism that the parser finds before the locus; another locus is a malformed header."""
+    head = F.expr("concat('A', p_partkey, ' ', CASE p_partkey % 3 WHEN 0 THEN concat(p_name, ' 16S ribosomal RNA, partial') WHEN 1 THEN concat(p_name, ' voucher 16S rRNA gene') ELSE concat(p_name, ' 23S ribosomal RNA') END)")
+    rows = read(spark, sf, "part").select(F.col("p_partkey").alias("ordinal"), head.alias("header"), F.lit("ACGT").alias("sequence"))
+    found = parsers.refseq(rows, "Bacteria", "16S")
+    return found.select(F.col("ordinal").alias("k"), F.when(F.col("exclusion").isNull(), F.col("source_lineage")[1]["name"]).alias("organism"), "exclusion")
+
+
 @query("S23_locus_match", "SELECT k, CASE WHEN k % 3 = 0 THEN n WHEN k % 3 = 1 THEN n || ' voucher' ELSE '' END AS organism FROM (SELECT p_partkey AS k, p_name AS n FROM part)")
 def s23(spark, sf):
     head = F.expr("CASE p_partkey % 3 WHEN 0 THEN concat(p_name, ' 16S ribosomal RNA, partial') WHEN 1 THEN concat(p_name, ' voucher 16S rRNA gene') ELSE concat(p_name, ' 23S ribosomal RNA') END")

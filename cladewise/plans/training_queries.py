@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 import pyspark.sql.functions as F
 
 from ..functions import storage
 from ..functions.schema import LEVELS, RANKS, Oversampling
-from ..operators import batches, labels, oversampling, reports
+from ..operators import batches, encoders, labels, oversampling, reports
 from .adapters import SEQUENCES_SQL, balancing_sql, dataset_sql, key_sql, read, sequences
 from .catalog import query
 from .merge_queries import dataset
@@ -49,8 +51,7 @@ def t02(spark, sf):
 
 @query("T03_apportion", APPORTIONED)
 def t03(spark, sf):
-    plan = oversampling.plan_copies(sizes(spark, sf), CONFIG.floor, CONFIG.max_copies)
-    return oversampling.apportion(plan, oversampling.budgets(train(spark, sf), CONFIG.max_ratio))
+    return oversampling.allotted(oversampling.named(train(spark, sf), CONFIG.rank), CONFIG)[1]
 
 
 @query("T04_distribute", f"SELECT seq_hash, key, copies FROM (SELECT t.seq_hash, t.key, CAST(allotted // size + CASE WHEN row_number() OVER (PARTITION BY t.key ORDER BY seq_hash) <= allotted % size THEN 1 ELSE 0 END AS BIGINT) AS copies FROM ({TRAIN}) t JOIN ({APPORTIONED}) a ON t.key = a.key) WHERE copies > 0")
@@ -58,6 +59,25 @@ def t04(spark, sf):
     return oversampling.planned(train(spark, sf), CONFIG).select("seq_hash", "key", "copies")
 
 
+@query("J12_parents", f"SELECT seq_hash, md5(sequence) AS sequence FROM ({dataset_sql()}) WHERE split = 'train' AND seq_hash IN (SELECT seq_hash FROM (SELECT t.seq_hash, allotted // size + CASE WHEN row_number() OVER (PARTITION BY t.key ORDER BY seq_hash) <= allotted % size THEN 1 ELSE 0 END AS copies FROM ({TRAIN}) t JOIN ({APPORTIONED}) a ON t.key = a.key) WHERE copies > 0)")
+def j12_parents(spark, sf):
+    """The rows that get copies, met again by their hashes."""
+    rows = storage.materialised(dataset(spark, sf), "dataset")
+    return oversampling.parents(rows, oversampling.planned(rows.where("split = 'train'"), CONFIG)).select("seq_hash", F.md5("sequence").alias("sequence"))
+
+
+#: Three candidates of each row: one that equals the row, one that many rows share, one of its own.
+CANDIDATES = "SELECT CASE _copy WHEN 0 THEN seq_hash WHEN 1 THEN md5(substr(seq_hash, 1, 2)) ELSE md5(seq_hash || '2') END AS seq_hash, seq_hash AS parent_seq_hash, _copy FROM d"
+
+
+@query("J13_fresh_copies", f"WITH d AS (SELECT seq_hash, _copy FROM ({dataset_sql()}), (SELECT unnest([0, 1, 2]) AS _copy)) SELECT seq_hash, parent_seq_hash, CAST(_copy AS INT) AS _copy FROM (SELECT *, row_number() OVER (PARTITION BY seq_hash ORDER BY parent_seq_hash, _copy) AS n FROM ({CANDIDATES}) WHERE seq_hash NOT IN (SELECT seq_hash FROM d)) WHERE n = 1")
+def j13_fresh(spark, sf):
+    rows = storage.materialised(dataset(spark, sf).select("seq_hash"), "hashes")
+    three = rows.select("seq_hash", F.explode(F.array(*map(F.lit, range(3)))).alias("_copy"))
+    made = three.select(F.when(F.col("_copy") == 0, F.col("seq_hash")).when(F.col("_copy") == 1, F.md5(F.substring("seq_hash", 1, 2))).otherwise(F.md5(F.concat("seq_hash", F.lit("2")))).alias("seq_hash"), F.col("seq_hash").alias("parent_seq_hash"), "_copy")
+    return oversampling.fresh(made, rows)
+
+
 def hashed(spark, sf):
     """The dataset with binary hashes, as a build writes it."""
     return dataset(spark, sf).withColumn("seq_hash", F.unhex("seq_hash"))
@@ -116,6 +136,18 @@ def g10(spark, sf):
     return labels.label_space(train(spark, sf), 3)
 
 
+#: Parameters that don't hang on the classes: of the CNN with its default sizes.
+CNN_BASE = sum(math.prod(s) for n, s in encoders.shapes(encoders.Cnn(), encoders.Heads((1,) * 8)).items() if not n.startswith(("head", "parent")))
+
+
+@query("C06_parameters", f"WITH s AS ({SPACE}), n AS (SELECT l.level, i, greatest(1, count(s.class_key)) AS size FROM (SELECT unnest({[*LEVELS]}) AS level, unnest(range(8)) AS i) l LEFT JOIN s ON s.level = l.level GROUP BY 1, 2) SELECT CAST(sum(size) AS BIGINT) AS classes, CAST({CNN_BASE} + sum(size * (256 + CASE WHEN i > 0 THEN 64 ELSE 0 END + 1) + CASE WHEN i < 7 THEN size * 64 ELSE 0 END) AS BIGINT) AS parameters FROM n")
+def c06(spark, sf):
+    """The CNN's parameters with heads of the dataset's label space."""
+    found = {r["level"]: r["n"] for r in labels.level_sizes(labels.label_space(train(spark, sf), 3)).collect()}  # a row for each level
+    heads = encoders.Heads(tuple(max(1, found.get(n, 0)) for n in LEVELS))
+    return spark.createDataFrame([(sum(heads.sizes), encoders.count(encoders.Cnn(), heads))], "classes long, parameters long")
+
+
 @query("G11_level_sizes", f"SELECT level, count(*) AS n FROM ({SPACE}) GROUP BY level")
 def g11(spark, sf):
     return labels.level_sizes(labels.label_space(train(spark, sf), 3))
