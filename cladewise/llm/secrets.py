@@ -16,7 +16,8 @@ HEX = r"[0-9a-f]{24,}"
 #: Weak parts: alone they are no finding.
 WEAK_ID = r"(?<![A-Za-z0-9])[A-Z][A-Z0-9]{15,}(?![A-Za-z0-9])"
 WEAK_SECRET = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9A-Z+/_-]*[a-z])(?=[0-9a-z+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}=*(?![A-Za-z0-9+/=_-])"
-ENDPOINT = r"[a-z][a-z0-9+.-]*://[^\x20\t\r\n\"'<>]+"
+#: A scheme has at most 63 characters (no registered one has more), so a long run of letters is not read anew from each of them.
+ENDPOINT = r"[a-z][a-z0-9+.-]{0,62}://[^\x20\t\r\n\"'<>]+"
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
 #: Parts with at most so many characters between them may belong together.
 SCOPE = 256
