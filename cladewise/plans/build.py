@@ -14,7 +14,7 @@ from ..functions.schema import RANKS, Filters, Oversampling, Split
 from ..operators import backbone, batches, labels, merge, oversampling, parsers, reports, split, staging
 from ..sources import remote
 from ..sources.fasta import DataError, read_fasta, read_fasta_member
-from ..sources.taxdump import read_taxa, unpack
+from ..sources.taxdump import read_dump
 
 
 @dataclass(frozen=True)
@@ -72,8 +72,8 @@ def parsed(spark: SparkSession, layout: Layout, source: remote.Source) -> DataFr
     frames = []
     for wanted, told in source.inputs:
         path = layout.raw(source) / wanted.filename
-        rows = read_fasta_member(spark, str(path), source.member, str(layout.raw(source))) if source.member else read_fasta(spark, str(path))
-        frames.append(parsers.PARSERS[source.parser](rows, **dict(told)).withColumn("ordinal", F.struct(F.lit(len(frames)).alias("file"), F.col("ordinal.block").alias("block"), F.col("ordinal.id").alias("id"))))
+        rows = read_fasta_member(spark, str(path), source.member) if source.member else read_fasta(spark, str(path))
+        frames.append(parsers.PARSERS[source.parser](rows, **dict(told)).withColumn("ordinal", F.struct(F.lit(len(frames)).alias("file"), F.col("ordinal.part").alias("part"), F.col("ordinal.at").alias("at"))))
     return staging.union_all(frames)
 
 
@@ -104,8 +104,7 @@ def build(spark: SparkSession, layout: Layout, config: Build) -> dict:
     entries = []
     n_taxa = 0
     if config.taxonomy:
-        files = unpack(str(layout.raw(config.taxonomy) / config.taxonomy.inputs[0][0].filename), str(layout.raw(config.taxonomy)))
-        taxa = read_taxa(spark, files["nodes.dmp"], files["rankedlineage.dmp"])
+        taxa = read_dump(spark, str(layout.raw(config.taxonomy) / config.taxonomy.inputs[0][0].filename))
         n_taxa = storage.write_parquet(backbone.entries_of_lineages(taxa), f"{layout.top}/interim/taxonomy")
         entries.append(spark.read.parquet(f"{layout.top}/interim/taxonomy"))
     empty = spark.createDataFrame([], "kind string, name string, lineage " + parsers.LINEAGE + ", kingdom string")

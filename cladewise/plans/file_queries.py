@@ -7,11 +7,42 @@ from pyspark.sql import DataFrame, Window
 
 from ..functions import storage
 from ..operators import parsers
-from ..sources.fasta import read_fasta
+from ..sources.fasta import read_fasta, read_fasta_member
 from .adapters import SEQUENCES_SQL, read, sequences
 from .catalog import query
 
 
+MEMBER = "in/sequences.fasta"
+ARCHIVE_BYTES = 16 << 20
+
+
+def archived(batches):
+    """Tar archives with one FASTA member, each a row; one is closed when its text reaches ARCHIVE_BYTES."""
+    import io
+    import tarfile
+
+    import pyarrow as pa
+
+    def archive(texts):
+        out, text = io.BytesIO(), "".join(texts).encode()
+        with tarfile.open(fileobj=out, mode="w") as tar:
+            info = tarfile.TarInfo(MEMBER)
+            info.size = len(text)
+            tar.addfile(info, io.BytesIO(text))
+        return pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["value"])
+
+    texts, size = [], 0
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            texts.append(text)
+            size += len(text)
+            if size >= ARCHIVE_BYTES:
+                yield archive(texts)
+                texts, size = [], 0
+    if texts:
+        yield archive(texts)
+
+
 @query("A01_fasta_scan", f"SELECT 'doc ' || doc_id AS header, md5(sequence) AS sequence FROM ({SEQUENCES_SQL}) WHERE sequence <> ''")
 def a01(spark, sf):
     """The documents' sequences written as FASTA in lines of 60 and scanned back."""
@@ -30,6 +61,15 @@ def a02(spark, sf):
     return read_fasta(spark, path, partitions=8).select("header", F.md5("sequence").alias("sequence"))
 
 
+@query("A03_fasta_member", f"SELECT 'doc ' || doc_id AS header, md5(sequence) AS sequence FROM ({SEQUENCES_SQL}) WHERE sequence <> ''")
+def a03(spark, sf):
+    """The documents' sequences as FASTA members of tar archives, one archive for each part of the rows, read as ranges of the members."""
+    text = sequences(spark, sf).where("sequence <> ''").select(F.concat(F.lit(">doc "), F.col("doc_id").cast("string"), F.lit("\n"), F.regexp_replace("sequence", "(.{1,60})", "$1\n")).alias("value"))
+    path = storage.scratch(spark, "fasta-tar")
+    text.mapInArrow(archived, "value binary").select(F.col("value").cast("string")).write.option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(path)
+    return read_fasta_member(spark, path, MEMBER).select("header", F.md5("sequence").alias("sequence"))
+
+
 @query("A13_parquet_sink", "SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders")
 def a13(spark, sf):
     path = storage.scratch(spark, "sink")

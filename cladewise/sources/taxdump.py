@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import shutil
 import zipfile
-from pathlib import Path
 
+import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource
 
 from ..functions.exprs import split_organism, truncated
 from ..functions.schema import RANKS
-from .fasta import DataError
+from .ranges import DataError, LineReader, file_system, load, whole_lines
 
 MEMBERS = ("nodes.dmp", "rankedlineage.dmp")
 FIELDS = 10
@@ -19,33 +19,57 @@ FIELDS = 10
 PLACES = {"genus": 3, "family": 4, "order": 5, "class": 6, "phylum": 7, "domain": 9}
 
 
-def unpack(archive: str, folder: str) -> dict[str, str]:
-    """The dump's two files in a folder; an error names what the archive lacks."""
-    with zipfile.ZipFile(archive) as held:
-        names = held.namelist()
-        for member in MEMBERS:
-            if member not in names:
-                raise DataError(f"{archive} has no {member}")
-            target = Path(folder) / member
-            if not target.exists():
-                target.parent.mkdir(parents=True, exist_ok=True)
-                part = target.with_name(member + ".part")
-                with held.open(member) as src, part.open("wb") as out:
-                    shutil.copyfileobj(src, out)
-                part.rename(target)
-    return {m: str(Path(folder) / m) for m in MEMBERS}
+class DumpReader(LineReader):
+    def batches(self, span):
+        stop = span.high if span.packed else span.stop - span.low
+        for at, text in whole_lines(span):
+            if at >= stop and not span.packed:
+                return
+            cut = 0 if span.packed else text.find(b"\n", max(stop - 1 - at, 0)) + 1
+            lines = (text[:cut] if cut else text).decode("utf-8", "replace").removesuffix("\n").split("\n")
+            fields = pa.array([x.removesuffix("\r").removesuffix("\t|").split("\t|\t") for x in lines], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([fields], ["f"])
+            if cut:
+                return
+
+
+class DumpSource(DataSource):
+    """spark.read.format("taxdump"): a row for each line, its fields in `f`; options as those of the FASTA source."""
+
+    @classmethod
+    def name(cls):
+        return "taxdump"
+
+    def schema(self):
+        return "f array<string>"
+
+    def reader(self, schema):
+        return DumpReader(self.options)
 
 
-def rows_of(spark: SparkSession, path: str) -> DataFrame:
-    """Each line's fields."""
-    line = F.regexp_replace("value", r"\t\|$", "")
-    return spark.read.text(path).select(F.split(line, r"\t\|\t").alias("f"))
+def rows_of(spark: SparkSession, path: str, member: str = "") -> DataFrame:
+    """Each line's fields, of a file or folder or of an archive's member."""
+    return load(spark, DumpSource, [path], member)
+
+
+def read_dump(spark: SparkSession, archive: str, domain: str = "Eukaryota") -> DataFrame:
+    """read_taxa of a dump's zip archive, read where it is; an error names what it lacks."""
+    system, inner = file_system(archive)
+    with system.open_input_file(inner) as file, zipfile.ZipFile(file) as held:
+        for member in MEMBERS:
+            if member not in held.namelist():
+                raise DataError(f"{archive} has no {member}")
+    return _taxa(*(rows_of(spark, archive, m) for m in MEMBERS), domain)
 
 
 def read_taxa(spark: SparkSession, nodes: str, lineages: str, domain: str = "Eukaryota") -> DataFrame:
     """(seven ranks, kingdom) of the domain's taxa at a canonical rank; species only if their name is a binomial."""
-    ranked = rows_of(spark, nodes).select(F.col("f")[0].alias("tax_id"), F.col("f")[2].alias("rank")).where(F.col("rank").isin(*RANKS[1:]))
-    told = rows_of(spark, lineages).where((F.size("f") == FIELDS) & (F.try_element_at("f", F.lit(FIELDS)) == domain))
+    return _taxa(rows_of(spark, nodes), rows_of(spark, lineages), domain)
+
+
+def _taxa(nodes: DataFrame, lineages: DataFrame, domain: str) -> DataFrame:
+    ranked = nodes.select(F.col("f")[0].alias("tax_id"), F.col("f")[2].alias("rank")).where(F.col("rank").isin(*RANKS[1:]))
+    told = lineages.where((F.size("f") == FIELDS) & (F.try_element_at("f", F.lit(FIELDS)) == domain))
     joined = told.select(F.col("f")[0].alias("tax_id"), "f").join(ranked, "tax_id")
     name, rank = F.col("f")[1], F.col("rank")
     joined = joined.where((rank != "species") | (split_organism(name)["species"] == name))
