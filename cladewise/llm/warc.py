@@ -45,19 +45,19 @@ def parse(data: bytes, at: int = 0) -> tuple[dict | None, int, str]:
     """(record or None, where it ends, what is wrong with it) of the plain record at a place."""
     if not (found := VERSION.match(data, at)):
         return None, at, "no version line"
-    end = data.find(ENDING, at)
-    if end < 0:
-        return None, at, "headers without end"
-    fields = {}
-    for line in data[found.end() : end].split(b"\r\n"):
-        key, colon, value = line.partition(b":")
-        if not colon:
+    fields, line = {}, found.end()
+    while (end := data.find(b"\r\n", line)) != line:
+        if end < 0:
+            return None, at, "headers without end"
+        key, colon, value = data[line:end].partition(b":")
+        if not colon:  # the next version line has none, so no header is read twice
             return None, at, "header without colon"
         fields[key.decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
+        line = end + 2
     length = fields.get("content-length", "")
     if not length.isascii() or not length.isdigit():
         return None, at, "no content length"
-    start = end + len(ENDING)
+    start = end + 2
     stop = start + int(length)
     if data[stop : stop + 4] != ENDING:
         return None, at, "block without end"
@@ -93,9 +93,12 @@ def salvage(data: bytes):
 
     After a member or record that fails its checks, the reader searches for the next
     gzip header whose member unpacks to a record, or the next version line that
-    starts a whole record, and goes on from there; the bytes between are one gap.
+    starts a whole record, and goes on from there; the bytes between are one gap. Where
+    the next header and the next version line are is remembered, so the search for them
+    goes through the archive once.
     """
     at, lost, why, size = 0, None, "", len(data)
+    after = line = -1  # the next gzip header and version line as last found; size if there is none
     view = memoryview(data)
     while at < size:
         found, end, fault = None, at, "no member or version line"
@@ -125,9 +128,13 @@ def salvage(data: bytes):
             continue
         if lost is None:
             lost, why = at, fault
-        after = data.find(MEMBER, at + 1)
-        line = VERSION.search(data, at + 1)
-        at = min([x for x in (after, line.start() if line else -1) if x > at], default=size)
+        if after <= at:
+            after = data.find(MEMBER, at + 1)
+            after = size if after < 0 else after
+        if line <= at:
+            seen = VERSION.search(data, at + 1)
+            line = seen.start() if seen else size
+        at = min(after, line)
     if lost is not None:
         yield "gap", lost, size, why
 
