@@ -74,13 +74,17 @@ def kingdoms(entries: DataFrame) -> DataFrame:
 def first_match(rows: DataFrame, unique: DataFrame, ids: list[str]) -> DataFrame:
     """(ids, mapped): the lineage of the first candidate of each row that the backbone knows in the row's domain.
 
-    Each candidate meets its one entry (kind, name, domain); a name that many rows ask
-    for is split by Spark's skew join, as the backbone has it once. The row's choice is
-    the least position that hit.
+    Rows of one domain and one list of candidates share their answer, so each distinct
+    list is asked once: lists are told apart before the shuffle, so one that a third of
+    the rows have is a row for each task. Each candidate meets its one entry (kind, name,
+    domain); a list's choice is the least position that hit. Rows meet the answer by
+    their list, the many rows of a hot one split by Spark's skew join. `ids` tell rows apart.
     """
-    asked = rows.select(*ids, "domain_name", F.posexplode("candidates").alias("pos", "c")).select(*ids, F.col("domain_name").alias("domain"), "pos", F.col("c.kind").alias("kind"), F.col("c.name").alias("name"))
+    listed = rows.where(F.size("candidates") > 0).select("domain_name", "candidates").distinct()
+    asked = listed.select("domain_name", "candidates", F.posexplode("candidates").alias("pos", "c")).select("candidates", F.col("domain_name").alias("domain"), "pos", F.col("c.kind").alias("kind"), F.col("c.name").alias("name"))
     hits = asked.join(unique, ["kind", "name", "domain"])
-    return hits.groupBy(*ids).agg(F.min_by("lineage", "pos").alias("mapped"))
+    told = hits.groupBy(F.col("domain").alias("domain_name"), "candidates").agg(F.min_by("lineage", "pos").alias("mapped"))
+    return rows.select(*ids, "domain_name", "candidates").join(told, ["domain_name", "candidates"]).select(*ids, "mapped")
 
 
 def located(rows: DataFrame, unique: DataFrame, ids: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions import storage
 from ..functions.schema import RANKS, Filters, Oversampling, Split
 from ..operators import backbone, batches, labels, merge, oversampling, parsers, reports, split, staging
-from ..sources import remote
+from ..sources import bank, remote
 from ..sources.fasta import DataError, read_fasta, read_fasta_member
 from ..sources.taxdump import read_dump
 
@@ -171,17 +171,24 @@ def load_training(spark: SparkSession, layout: Layout, min_count: int = 3, sampl
 
 @storage.cleaning
 def cache(spark: SparkSession, layout: Layout, min_count: int = 3) -> dict[str, int]:
-    """Label space and token banks, unless those there are of the same rows in order."""
+    """Label space and token banks, unless those there are of the same rows in order.
+
+    A bank is a table, NAME, and flat files read by position, NAME.bank, with the targets;
+    the files are checked on disk before the bank counts as there.
+    """
     data = load_training(spark, layout, min_count)
     storage.write_text(layout.report("label_space"), labels.to_json(data["space"], min_count))
     out = {}
     for name in ("train", "validation"):
         # an order-free sum of hashes tells whether the rows are the same ones; order is by hash
         told = data[name].agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("seq_hash", *(c for c in data[name].columns if c.startswith("y_"))).cast("decimal(38,0)")).alias("s")).first()
-        mark, path = f"{told.n}:{told.s}", f"{layout.tokens}/{name}"
+        mark, path, flat = f"{told.n}:{told.s}", f"{layout.tokens}/{name}", f"{layout.tokens}/{name}.bank"
         manifest = Path(f"{path}.json")
-        if not (manifest.exists() and manifest.read_text().strip() == f'"{mark}"' and Path(path).exists()):
+        if not (manifest.exists() and manifest.read_text().strip() == f'"{mark}"' and Path(path).exists() and Path(flat).exists()):
             storage.write_parquet(batches.token_bank(data[name], ["seq_hash"]).drop("sequence"), path)
+            bank.write_bank(data[name], flat, ["seq_hash"], [c for c in data[name].columns if c.startswith("y_")])
+            if not bank.bank_check(spark, flat).first().whole:
+                raise DataError(f"{flat} is not whole on disk")
             storage.write_json(manifest, mark)
         out[name] = told.n
     return out

@@ -9,9 +9,11 @@ import pyspark.sql.functions as F
 from ..functions import storage
 from ..functions.schema import LEVELS, RANKS, Oversampling
 from ..operators import batches, encoders, labels, oversampling, reports
+from ..sources import bank
 from .adapters import SEQUENCES_SQL, balancing_sql, dataset_sql, key_sql, read, sequences
 from .catalog import query
 from .merge_queries import dataset
+from .scalar_queries import TOKENS_SQL
 
 CONFIG = Oversampling(floor=12, max_copies=5, max_ratio=0.5, rank="class")
 TRAIN = f"SELECT *, coalesce(kingdom, 'unknown') AS \"group\", coalesce(kingdom, 'unknown') || '|' || {balancing_sql('class')} AS key FROM ({dataset_sql()}) WHERE split = 'train'"
@@ -173,9 +175,16 @@ def t15(spark, sf):
     return batches.token_bank(sequences(spark, sf), ["doc_id"]).select("doc_id", "length", "offset")
 
 
+def flat_bank(spark, sf):
+    path = storage.scratch(spark, "bank")
+    bank.write_bank(sequences(spark, sf), path, ["doc_id"], ["doc_id"])
+    return path
+
+
 @query("A17_bank_check", f"SELECT count(*) AS n, CAST(sum(length) AS BIGINT) AS n_tokens, CAST(sum(length(sequence)) AS BIGINT) AS n_bytes, true AS whole FROM ({SEQUENCES_SQL})")
 def a17(spark, sf):
-    return batches.bank_is_whole(batches.token_bank(sequences(spark, sf), ["doc_id"]))
+    """Lengths by the index files against the bytes of the token files on disk."""
+    return bank.bank_check(spark, flat_bank(spark, sf))
 
 
 @query("T17_take", "SELECT x AS ordinal, doc_id, n_chars FROM (SELECT unnest([3, 1, 3, 7]) AS x) t JOIN documents d ON d.doc_id = x")
@@ -184,6 +193,17 @@ def t17(spark, sf):
     return batches.take(rows, spark.createDataFrame([(3,), (1,), (3,), (7,)], "ordinal int"))
 
 
+#: As many ordinals as there are rows: squares modulo their number, so some come often and others never.
+@query("T17_take_from_bank", f"WITH s AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal, coalesce(sum(length) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, count(*) OVER () AS n FROM ({SEQUENCES_SQL})), t AS (SELECT ordinal * ordinal % n AS ordinal FROM s) SELECT CAST(ordinal AS BIGINT) AS ordinal, doc_id, CAST(length AS BIGINT) AS length, CAST(start AS BIGINT) AS \"offset\", md5({TOKENS_SQL}) AS tokens FROM t JOIN s USING (ordinal)")
+def t17_bank(spark, sf):
+    """A shuffled selection with repeats, read by position from the flat files."""
+    path = flat_bank(spark, sf)
+    n = bank.header(spark, path).n
+    found = bank.take_from_bank(spark, path, spark.range(n).select((F.col("id") * F.col("id") % n).alias("ordinal")))
+    digits = F.translate(F.decode("tokens", "ISO-8859-1"), "\x01\x02\x03\x04\x05", "12345")
+    return found.select("ordinal", "doc_id", "length", "offset", F.md5(digits).alias("tokens"))
+
+
 @query("T18_validation_subset_md5", f"SELECT seq_hash FROM ({dataset_sql()}) ORDER BY CAST('0x' || substr(md5(seq_hash || '|7|validation'), 1, 15) AS BIGINT), seq_hash LIMIT 50")
 def t18(spark, sf):
     return batches.validation_subset(dataset(spark, sf), 50, 7, impl="md5").select("seq_hash")

@@ -9,6 +9,7 @@ import pytest
 
 from cladewise.functions.schema import Filters, Oversampling, Split
 from cladewise.plans import build as plan
+from cladewise.sources.bank import read_bank
 from cladewise.sources.fasta import DataError, read_fasta
 from cladewise.sources.remote import RemoteFile, Source
 
@@ -98,6 +99,16 @@ def test_augment_and_cache(spark, built):
     assert json.loads(Path(layout.report("label_space")).read_text())["levels"]["domain"]
 
 
+def test_cache_has_flat_banks(spark, built):
+    layout = built[0]
+    plan.augment(spark, layout, Oversampling(floor=3))
+    assert plan.cache(spark, layout, 1)["train"] > 0
+    table = spark.read.parquet(f"{layout.tokens}/train").orderBy("seq_hash").collect()
+    targets = [c for c in table[0].asDict() if c.startswith("y_")]
+    flat = read_bank(spark, f"{layout.tokens}/train.bank").orderBy("ordinal").collect()
+    assert targets and [[r.offset, bytes(r.tokens), *(r[c] for c in targets)] for r in flat] == [[r.offset, bytes(r.tokens), *(r[c] for c in targets)] for r in table]
+
+
 def test_missing_files_are_named(spark, tmp_path):
     with pytest.raises(DataError, match="gtdb.fna"):
         plan.build(spark, plan.Layout(str(tmp_path)), plan.Build(SOURCES, None))
