@@ -28,6 +28,8 @@ MOST_SPLIT = 20_000
 PAIRS, SHINGLES = 1 << 16, 1 << 15
 #: Shingle sets that are compared together, and bits that tell which sets are wanted.
 SETS, SIEVE = 1024, 1 << 23
+#: Pairs whose smaller set has so many shingles at most are all found, by their rarest shingles.
+SHORT = 25
 #: The share of bits in which two sets at Jaccard 0.8 differ on average, and the chance at which tables may miss such a pair.
 EXPECTED, MISSED = 78 / 512, 0.001
 #: Rows of a bucket on average at most, slices that are joined to one key at most, and places that a table of longer fingerprints samples.
@@ -343,15 +345,15 @@ def shown(prints: DataFrame) -> DataFrame:
     return prints.withColumn("fingerprint", F.lower(F.hex("print"))).drop("print")
 
 
-def set_rows(docs: DataFrame, words: int, bits: int) -> DataFrame:
-    """(doc_id, print, digest) of each row: print of its distinct shingles, each once, and 16 bytes that tell their set."""
+def set_rows(docs: DataFrame, words: int, bits: int, most: int = 0) -> DataFrame:
+    """(doc_id, print, digest, few) of each row: print of its distinct shingles, each once, 16 bytes that tell their set, and the set itself if it has `most` at most."""
     rows = pick(docs, "doc_id", "text")
-    schema = T.StructType([rows.schema[0], T.StructField("print", T.BinaryType()), T.StructField("digest", T.BinaryType())])
+    schema = T.StructType([rows.schema[0], *(T.StructField(c, T.BinaryType()) for c in ("print", "digest", "few"))])
 
     def run(batches):
         for batch in batches:
             found = [np.unique(shingle_hashes(x.as_py() or "", words)) for x in batch.column(1)]
-            out = [pa.array([fingerprint(x, bits).astype(">u8").tobytes() for x in found], pa.binary()), pa.array([digest(x) for x in found], pa.binary())]
+            out = [pa.array([fingerprint(x, bits).astype(">u8").tobytes() for x in found], pa.binary()), pa.array([digest(x) for x in found], pa.binary()), pa.array([x.astype("<u8").tobytes() if 0 < len(x) <= most else None for x in found], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *out], schema.names)
 
     return rows.mapInArrow(run, schema)
@@ -361,6 +363,21 @@ def digest(found: np.ndarray) -> bytes:
     return hashlib.blake2b(found.astype("<u8").tobytes(), digest_size=16).digest()
 
 
+def rare_roots(sets: DataFrame, least: float) -> DataFrame:
+    """(root, digest) of the sets (digest, few): root is each of their rarest shingles that another set has too, enough of them that no pair is missed.
+
+    Of n shingles, two sets at `least` share least * n, so the n - least * n + 1 that come
+    first in one order of all shingles can't all be without the other's. The order is by
+    how many sets have a shingle, so buckets stay as small as they can.
+    """
+    few = sets.where("few is not null").select("digest", "few", (F.octet_length("few") / 8).cast("int").alias("size"))
+    each = few.select("digest", "size", F.explode(F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.substring(F.col("few"), i * 8 + 1, F.lit(8)))).alias("root"))
+    number = each.groupBy("root").agg(F.count(F.lit(1)).alias("number")).withColumn("_n", F.col("number"))
+    ranked = attach(each, number, "root", "_n").groupBy("digest", "size").agg(F.sort_array(F.collect_list(F.struct("number", "root"))).alias("ranked"))
+    first = F.col("size") - F.ceil(F.col("size") * F.lit(least) - 1e-9).cast("int") + 1
+    return ranked.select("digest", F.explode(F.slice("ranked", F.lit(1), first)).alias("r")).where("r.number > 1").select(F.col("r.root").alias("root"), "digest")
+
+
 def sieve(keys: DataFrame) -> np.ndarray:
     """SIEVE bits, those set that the keys (one binary column) begin with; a fixed size, however many keys there are."""
 
@@ -467,8 +484,8 @@ def near_centres(rows: DataFrame, least: float) -> DataFrame:
 def link_sets(sets: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
     """Edges (a, b) between digests whose sets have a Jaccard similarity of `least` or more, as far as their components go.
 
-    sets: (root, digest); all pairs of a root are told apart by their whole sets. Roots
-    of more than SETS sets are first compared with one set each, their centre: those near
+    sets: (root, digest), a digest under any number of roots; all pairs of a root are told
+    apart by their whole sets. Roots of more than SETS sets are first compared with one set each, their centre: those near
     it are one component already, so that only pairs with one of the rest are left.
     These go in blocks of SETS, each pair of blocks by itself; a group of near copies
     leaves few or none.
@@ -476,11 +493,11 @@ def link_sets(sets: DataFrame, docs: DataFrame, words: int, least: float) -> Dat
     sizes = sets.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
     several = attach(sets, sizes.withColumn("_sets", F.col("_n")), "root", "_n").where("_sets > 1")
     several = written(several.select("digest", "root", F.ceil(F.col("_sets") / SETS).cast("int").alias("blocks")))
-    rows = written(shingle_sets(docs, words, several.select("digest")).join(several, "digest").dropDuplicates(["digest"]))
+    rows = written(shingle_sets(docs, words, several.select("digest")).dropDuplicates(["digest"]).join(several, "digest"))
     large = rows.where("blocks > 1")
     told = written(near_centres(large, least))
     number = told.groupBy("root").agg(F.ceil(F.count_if("near") / SETS).cast("int").alias("n_near"), F.ceil(F.count_if(~F.col("near")) / SETS).cast("int").alias("n_rest"), F.count(F.lit(1)).alias("_n"))
-    parts = attach(large.join(told.select("digest", "near"), "digest"), number, "root", "_n").where("n_rest > 0")
+    parts = attach(large.join(told.select("root", "digest", "near"), ["root", "digest"]), number, "root", "_n").where("n_rest > 0")
     block = F.pmod(F.xxhash64("digest"), F.when(F.col("near"), F.col("n_near")).otherwise(F.col("n_rest"))).cast("int")
     pair = lambda low, high, side: F.struct(low.alias("low"), high.alias("high"), side.cast("int").alias("side"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -510,19 +527,22 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, bits: in
     """(doc_id, digest, component_id) of each row: links are pairs of shingle sets of Jaccard `least` or more.
 
     SimHash within radius only finds what is compared: the whole sets of all rows that
-    its links lead to are compared with each other, and only verified pairs link.
-    Rows of one set, texts without words among them, are one node.
+    its links lead to are compared with each other, and only verified pairs link. Sets of
+    few shingles, for which SimHash is least sure, are also compared where they share one
+    of their rarest: of pairs whose smaller set has SHORT at most none is missed. Rows of
+    one set, texts without words among them, are one node.
     """
-    rows = checkpointed(set_rows(docs, words, bits))
-    sets = checkpointed(rows.groupBy("digest").agg(F.first("print").alias("print"), F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_n")))
+    rows = checkpointed(set_rows(docs, words, bits, math.floor(SHORT / least + 1e-9)))
+    sets = checkpointed(rows.groupBy("digest").agg(F.first("print").alias("print"), F.first("few").alias("few"), F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_n")))
     prints = checkpointed(sets.groupBy("print").agg(F.count(F.lit(1)).alias("_sets")))
     near = components(link_prints(prints.select("print"), bits, radius)).withColumnRenamed("node", "print")
     candidates = sets.select("print", "digest").join(near, "print", "left").select(F.coalesce("root", "print").alias("root"), "digest")
+    candidates = candidates.unionByName(written(rare_roots(sets, least)))
     found = components(link_sets(candidates, docs, words, least))
     rooted = sets.join(found, F.col("digest") == F.col("node"), "left").withColumn("root", F.coalesce("root", "digest"))
     first = rooted.groupBy("root").agg(F.min("_least").alias("component_id"), F.count(F.lit(1)).alias("_digests"))
     named = attach(rooted.select("root", "digest", "_n"), first, "root", "_digests").drop("root")
-    return attach(rows.drop("print"), named, "digest", "_n").select("doc_id", "digest", "component_id")
+    return attach(rows.drop("print", "few"), named, "digest", "_n").select("doc_id", "digest", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, bits: int = 512, radius: int = 116, least: float = 0.8) -> DataFrame:
@@ -532,10 +552,14 @@ def one_of_each(docs: DataFrame, words: int = 5, bits: int = 512, radius: int =
     bits at radius 116 only find the candidates: two sets at Jaccard 0.8 have the cosine
     0.89 and differ in 78 bits on average, so the radius is more than four deviations
     off (fewer for sets of less than ten shingles). What is missed is in README. Of
-    rows with one doc_id one stays; rows with a null doc_id all stay.
+    rows with one doc_id one stays, that whose text has the least hash, then whose columns
+    have; rows with a null doc_id all stay.
     """
     kept = similar_groups(docs, words, least, bits, radius).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     own = f"c{docs.columns.index('doc_id')}"
-    first = plain.join(kept, plain[own] == kept["_kept"], "left_semi").dropDuplicates([own])
+    kept = plain.join(kept, plain[own] == kept["_kept"], "left_semi")
+    text, hashed = f"c{docs.columns.index('text')}", [c for c, kind in plain.dtypes if "map<" not in kind and "variant" not in kind]
+    order = F.struct(F.md5(F.coalesce(F.col(text), F.lit(""))), F.xxhash64(*hashed))
+    first = kept.groupBy(F.col(own).alias("_own")).agg(F.min_by(F.struct(*plain.columns), order).alias("row")).select("row.*")
     return first.unionByName(plain.where(F.col(own).isNull())).toDF(*docs.columns)
