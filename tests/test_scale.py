@@ -2,10 +2,13 @@
 
 import itertools
 
+import numpy as np
+import pyarrow as pa
 import pyspark.sql.functions as F
+import pytest
 
 from cladewise.functions.schema import LEVELS, RANKS
-from cladewise.operators import labels, merge
+from cladewise.operators import labels, merge, oversampling, parsers, training
 from cladewise.plans import adapters, merge_queries
 
 from .oracle import SF
@@ -62,3 +65,28 @@ def test_some_levels_alone_are_encoded(spark):
     coded = labels.encode(rows, labels.label_space(rows, 1), ["seq_hash"], ("class",))
     assert coded.columns == ["seq_hash", "y_class"] and len(LEVELS) > 1
     assert coded.where(F.col("y_class") < 0).count() == rows.where("class is null").count()
+
+
+def test_planned_copies_count_also_if_equal(spark):
+    """A row for each planned copy; of copies too short to differ `synthesised` keeps some."""
+    rows = spark.createDataFrame([(bytes([k]), "ACGT", 4, 0, 1, "train") for k in range(3)], "seq_hash binary, sequence string, length int, n_ambiguous int, n_records int, split string")
+    plan = rows.select("seq_hash", F.lit(40).cast("long").alias("copies"))
+    assert oversampling.synthesised(rows, plan).count() < 120
+    frame = oversampling.planned_frame(rows, plan)
+    assert sorted(map(tuple, frame.groupBy("seq_hash", "synthetic").count().collect())) == sorted((bytes([k]), s, 40 if s else 1) for k in range(3) for s in (False, True))
+
+
+@pytest.mark.parametrize("parser, pattern", [(parsers.midori, "_[0-9]+$"), (parsers.unite, "Incertae_sedis$")])
+def test_names_are_made_once(spark, parser, pattern):
+    """Each regular expression stands once in the plan."""
+    rows = spark.range(1).select(F.col("id").alias("ordinal"), F.concat("id", F.lit(";")).alias("header"), F.lit("ACGT").alias("sequence"))
+    assert parser(rows)._jdf.queryExecution().optimizedPlan().toString().count(pattern) == 1
+
+
+def test_few_probabilities_at_a_time(monkeypatch):
+    """Rows of a batch by the classes of all levels, none lost."""
+    monkeypatch.setattr(training, "CELLS", 100)
+    params = training.init(4, [10, 20], 3, 1)
+    batch = pa.RecordBatch.from_pydict({"x": list(range(11))})
+    parts = list(training.slices([batch, batch.slice(0, 0)], params, 2))
+    assert [b.num_rows for b in parts] == [3, 3, 3, 2] and np.concatenate([b.column(0).to_numpy() for b in parts]).tolist() == list(range(11))
