@@ -14,7 +14,7 @@ from collections.abc import Callable
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
-from ..functions.exprs import clean_name, cut_at, is_placeholder, normalize_sequence, prokaryote_kingdom, split_organism, strip, tagged, valid_sequence
+from ..functions.exprs import clean_name, cut_at, is_placeholder, normalize_sequence, prokaryote_kingdom, split_organism, strip, valid_sequence
 from ..functions.schema import RANKS
 
 TAXON = "struct<name:string,rank:string>"
@@ -134,43 +134,46 @@ def silva(rows: DataFrame, marker: str = "ssu") -> DataFrame:
     return parsed(rows, "silva", marker, malformed, head["head"], lineage, candidates, domain, exclusion=organelle, organism=F.try_element_at(fields, F.lit(-1)), kingdom=prokaryote_kingdom(domain))
 
 
+def ranked(rows: DataFrame, named: Column, tags: dict[str, str]) -> tuple[DataFrame, dict[str, Column], Column]:
+    """rows with `named`, (tag, name) in order, as a column and each rank's last name as another; these names, and (name, rank) of the ranks in the order of their first places.
+
+    Columns of their own, for Spark works out an expression again at each place within
+    lambdas that names it.
+    """
+    rows = rows.withColumn("_named", F.filter(named, lambda f: f["tag"].isin(*tags)))
+    of = lambda tag: F.try_element_at(F.filter("_named", lambda f: f["tag"] == tag), F.lit(-1))["name"]
+    rows = rows.withColumns({f"_{rank}": of(tag) for tag, rank in tags.items()})
+    names = {rank: F.col(f"_{rank}") for rank in tags.values()}
+    value = lambda t: F.coalesce(*(F.when(t == tag, names[rank]) for tag, rank in tags.items()))
+    rank = lambda t: F.coalesce(*(F.when(t == tag, F.lit(r)) for tag, r in tags.items()))
+    firsts = F.array_distinct(F.transform("_named", lambda f: f["tag"]))
+    return rows, names, F.transform(firsts, lambda t: F.struct(value(t).alias("name"), rank(t).alias("rank")))
+
+
 def midori(rows: DataFrame, marker: str = "coi") -> DataFrame:
     """`accession;tax=k:Domain_id,p:...,s:...;`."""
-    head = cut_at(F.regexp_replace("header", ";+$", ""), ";tax=")
+    rows = rows.withColumn("_cut", cut_at(F.regexp_replace("header", ";+$", ""), ";tax="))
+    head = F.col("_cut")
     fields = F.transform(F.split(head["tail"], ",(?=[kpcofgs]:)"), lambda f: cut_at(f, ":"))
-
-    def name(f: Column) -> Column:
-        value = strip(F.regexp_replace(f["tail"], "_[0-9]+$", ""))
-        return F.when((value != "") & ~value.rlike("^(phylum|class|order|family|genus)_"), value)
-
-    names = {rank: tagged(fields, name, tag) for tag, rank in TAGS.items()}
+    values = F.transform(fields, lambda f: F.struct(f["head"].alias("tag"), strip(F.regexp_replace(f["tail"], "_[0-9]+$", "")).alias("name")))
+    named = F.filter(values, lambda f: (f["name"] != "") & ~f["name"].rlike("^(phylum|class|order|family|genus)_"))
+    rows, names, lineage = ranked(rows, named, TAGS)
     species = split_organism(F.coalesce(names["species"], F.lit("")))["species"]
-    # each rank's last name, in the order of the ranks' first places
-    firsts = F.array_distinct(F.transform(F.filter(fields, lambda f: f["head"].isin(*TAGS) & name(f).isNotNull()), lambda f: f["head"]))
-    value = lambda t: F.coalesce(*(F.when(t == tag, names[rank]) for tag, rank in TAGS.items()))
-    rank = lambda t: F.coalesce(*(F.when(t == tag, F.lit(r)) for tag, r in TAGS.items()))
-    lineage = F.transform(firsts, lambda t: F.struct(value(t).alias("name"), rank(t).alias("rank")))
     malformed = ~head["found"] | (head["head"] == "") | names["domain"].isNull()
     return parsed(rows, "midori2", marker, malformed, head["head"], lineage, asked(species, *(names[r] for r in ("genus", "family", "order", "class", "phylum"))), names["domain"])
 
 
 def unite(rows: DataFrame, marker: str = "its") -> DataFrame:
     """`name|accession|SH|type|k__..;p__..;..;s__..`."""
-    parts = F.split("header", r"\|")
+    rows = rows.withColumn("_parts", F.split("header", r"\|"))
+    parts = F.col("_parts")
     fields = F.transform(F.split(F.coalesce(F.try_element_at(parts, F.lit(5)), F.lit("")), ";"), lambda f: cut_at(f, "__"))
-    tags = {t: r for t, r in TAGS.items() if t != "k"}
-
-    def name(f: Column) -> Column:
-        good = F.when((f["tail"] != "") & ~f["tail"].rlike("_(kgd|phy|cls|ord|fam|gen)_Incertae_sedis$"), f["tail"])
-        return F.when(f["head"] == "s", F.replace(good, F.lit("_"), F.lit(" "))).otherwise(good)
-
-    names = {rank: tagged(fields, name, tag) for tag, rank in tags.items()}
+    good = F.filter(fields, lambda f: (f["tail"] != "") & ~f["tail"].rlike("_(kgd|phy|cls|ord|fam|gen)_Incertae_sedis$"))
+    named = F.transform(good, lambda f: F.struct(f["head"].alias("tag"), F.when(f["head"] == "s", F.replace(f["tail"], F.lit("_"), F.lit(" "))).otherwise(f["tail"]).alias("name")))
+    rows, names, lineage = ranked(rows, named, {t: r for t, r in TAGS.items() if t != "k"})
     organism = F.coalesce(names["species"], F.lit(""))
     species = F.when(~organism.endswith(" sp"), split_organism(organism)["species"])
-    firsts = F.array_distinct(F.transform(F.filter(fields, lambda f: f["head"].isin(*tags) & name(f).isNotNull()), lambda f: f["head"]))
-    value = lambda t: F.coalesce(*(F.when(t == tag, names[rank]) for tag, rank in tags.items()))
-    rank = lambda t: F.coalesce(*(F.when(t == tag, F.lit(r)) for tag, r in tags.items()))
-    lineage = F.concat(F.array(taxon(F.lit(EUKARYOTA), "domain")), F.transform(firsts, lambda t: F.struct(value(t).alias("name"), rank(t).alias("rank"))))
+    lineage = F.concat(F.array(taxon(F.lit(EUKARYOTA), "domain")), lineage)
     accession = F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))
     return parsed(rows, "unite", marker, (F.size(parts) != 5) | (accession == ""), accession, lineage, asked(species, *(names[r] for r in ("genus", "family", "order", "class", "phylum"))), F.lit(EUKARYOTA))
 
