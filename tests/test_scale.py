@@ -35,6 +35,19 @@ def test_records_carry_no_keys(spark):
     assert "concat_ws(;" not in told
 
 
+def test_records_are_merged_as_they_come(spark):
+    """C06, T12, T10 and all over the merged rows: records sorted by their parts are not shuffled and sorted once more."""
+    told = plan(merge_queries.merged(spark, SF).select("seq_hash", "kingdom", "species"))
+    assert told.count("Exchange hashpartitioning") == 2 and told.count("Sort [") == 2
+
+
+def test_another_key_of_the_same_groups(spark):
+    rows = adapters.staged(spark, SF, "l_partkey")
+    by_hash, by_part = merge.merged(rows), merge.merged(rows, key="l_partkey")
+    assert by_hash.columns == by_part.columns
+    assert by_hash.exceptAll(by_part).count() == by_part.exceptAll(by_hash).count() == 0
+
+
 def test_conflicts_by_names_and_gaps(spark):
     """Each pair of lineages of names, empty names and nulls, against keys in Python."""
     lineages = [(a, b, c) for a in ("x", "y") for b in (None, "", "p", "q") for c in (None, "s", "t")]
