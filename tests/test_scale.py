@@ -7,9 +7,10 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 import pytest
 
+from cladewise.functions import storage
 from cladewise.functions.schema import LEVELS, RANKS
 from cladewise.operators import labels, merge, oversampling, parsers, training
-from cladewise.plans import adapters, merge_queries
+from cladewise.plans import adapters, merge_queries, training_queries
 
 from .oracle import SF
 
@@ -48,6 +49,15 @@ def test_another_key_of_the_same_groups(spark):
     assert by_hash.exceptAll(by_part).count() == by_part.exceptAll(by_hash).count() == 0
 
 
+@pytest.mark.parametrize("query", [training_queries.t16, training_queries.t18])
+def test_sequences_are_not_written(spark, monkeypatch, query):
+    """Of the merged rows they want hashes only."""
+    seen, write = [], storage.materialised
+    monkeypatch.setattr(storage, "materialised", lambda df, name="table": seen.append(df.columns) or write(df, name))
+    query(spark, SF)
+    assert seen and not any({"sequence", "accessions"} & {*c} for c in seen)
+
+
 def test_conflicts_by_names_and_gaps(spark):
     """Each pair of lineages of names, empty names and nulls, against keys in Python."""
     lineages = [(a, b, c) for a in ("x", "y") for b in (None, "", "p", "q") for c in (None, "s", "t")]
