@@ -43,7 +43,7 @@ HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 #: Open elements that are kept; deeper ones part text and no more.
 DEPTH = 150
-#: Nodes of a wrapper; page nodes that find no place in it count as content.
+#: Nodes of a wrapper; page nodes that find no place in it are told by their paths.
 NODES = 1000
 #: Skeletons, the commonest of a host, that its wrapper is merged from; what is constant is told by all of its pages.
 SKELETONS = 16
@@ -51,7 +51,7 @@ SKELETONS = 16
 PAIRS = 1 << 18
 #: A slot is template if pages with at least so many different contents have it, and its texts are at most this share of them: each comes back with four contents on average.
 CONTENTS, SHARE = 8, 0.25
-#: Bytes of all hosts' wrappers up to which they are broadcast.
+#: Bytes of all hosts' wrappers, or of what pages have beside them, up to which they are broadcast.
 SENT = 8 << 20
 
 
@@ -367,6 +367,25 @@ def wrapper_of(told: str) -> Node:
     return read_tree(told)
 
 
+def number_rest(page: Page) -> None:
+    """Numbers below -1 for nodes with text that found no place in the wrapper: hashes of their paths, of signatures and places among siblings of one signature."""
+    known: dict[int, bytes] = {}
+    places: dict[int, int] = {}
+    for node in {id(x[0].run): x[0].run for x in page.blocks if x[0].run.number < 0}.values():
+        path, at = [], node
+        while at is not None and id(at) not in known:
+            path.append(at)
+            at = at.parent
+        told = known[id(at)] if at is not None else b""
+        for x in reversed(path):
+            if x.parent is not None and id(x) not in places:
+                seen: dict[str, int] = {}
+                for y in x.parent.children:
+                    places[id(y)] = seen[y.sig] = seen.get(y.sig, -1) + 1
+            told = known[id(x)] = hashlib.blake2b(b"%b %d %b" % (told, places.get(id(x), 0), x.sig.encode("utf-8", "surrogatepass")), digest_size=8).digest()
+        node.number = -2 - (int.from_bytes(told, "little") >> 2)
+
+
 def digest(texts: list[str]) -> int:
     return int.from_bytes(hashlib.blake2b("\n".join(texts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
@@ -389,14 +408,14 @@ def main_blocks(page: Page) -> list[tuple[Node, str, int, bool]]:
 
 
 def slots(page: Page, wrapper: str | None) -> dict[int, list[str]]:
-    """The texts at each place of the wrapper."""
+    """The texts at each place of the wrapper, and at each path beside it."""
     top = fold(page.top)
     out: dict[int, list[str]] = {}
     if wrapper:
         align(top, wrapper_of(wrapper))
+        number_rest(page)
         for node, text, *_ in page.blocks:
-            if node.run.number >= 0:
-                out.setdefault(node.run.number, []).append(text)
+            out.setdefault(node.run.number, []).append(text)
     return out
 
 
@@ -418,8 +437,12 @@ def main_text(page: Page, wrapper: str | None, template: frozenset[int] = frozen
     return "\n".join(x[1] for x in kept)
 
 
-def wrappers(rows: DataFrame) -> DataFrame:
-    """(host, wrapper, template, pages) of each host of (host, html): the merged tree, and the numbers of its constant nodes."""
+def wrappers(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of (host, html): (host, wrapper, template, pages) of each host, its merged tree and the numbers of its constant nodes; and
+    (host, page, rest) of the pages, by the hash of their html, that have constant places beside the wrapper: their numbers.
+
+    A host may have any number of such places, so each page gets its own only.
+    """
     skeleton = T.StructType([T.StructField("host", T.StringType()), T.StructField("skeleton", T.StringType())])
 
     def skeletons(batches):
@@ -439,12 +462,12 @@ def wrappers(rows: DataFrame) -> DataFrame:
     made = few.groupBy("host").applyInArrow(merge, "host string, wrapper string").join(counts.groupBy("host").agg(F.sum("n").alias("pages")), "host")
     made = written(made)
     discard(counts)
-    seen = T.StructType([T.StructField("host", T.StringType()), T.StructField("node", T.IntegerType()), T.StructField("text", T.LongType()), T.StructField("content", T.LongType())])
+    seen = T.StructType([T.StructField("host", T.StringType()), T.StructField("node", T.LongType()), T.StructField("text", T.LongType()), T.StructField("content", T.LongType()), T.StructField("page", T.LongType())])
 
     def stated(batches):
         for batch in batches:
-            hosts, nodes, texts, contents = [], [], [], []
-            for host, value, wrapper in zip(*(batch.column(k) for k in range(3))):
+            hosts, nodes, texts, contents, pages = [], [], [], [], []
+            for host, value, wrapper, hashed in zip(*(batch.column(k) for k in range(4))):
                 page = Page(value.as_py() or "")
                 found = slots(page, wrapper.as_py())
                 content = digest([x[1] for x in main_blocks(page)])
@@ -453,16 +476,21 @@ def wrappers(rows: DataFrame) -> DataFrame:
                     nodes.append(node)
                     texts.append(digest(own))
                     contents.append(content)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.int32()), pa.array(texts, pa.int64()), pa.array(contents, pa.int64())], seen.names)
+                    pages.append(hashed.as_py() if node < 0 else None)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(x, pa.int64()) for x in (nodes, texts, contents, pages))], seen.names)
 
-    met = joined(rows, made).select("host", "html", "wrapper").mapInArrow(stated, seen).groupBy("host", "node", "text", "content").agg(F.count(F.lit(1)).alias("n"))
+    found = written(joined(rows, made).select("host", "html", "wrapper", F.xxhash64("html").alias("page")).mapInArrow(stated, seen))
+    met = found.groupBy("host", "node", "text", "content").agg(F.count(F.lit(1)).alias("n"))
     by_text = met.groupBy("host", "node", "text").agg(F.count(F.lit(1)).alias("contents"))
     by_node = by_text.groupBy("host", "node").agg(F.count(F.lit(1)).alias("texts"), F.sum("contents").alias("contents"))
-    constant = by_node.where((F.col("contents") >= CONTENTS) & (F.col("texts") <= F.greatest(F.lit(1.0), F.col("contents") * SHARE)))
+    constant = written(by_node.where((F.col("contents") >= CONTENTS) & (F.col("texts") <= F.greatest(F.lit(1.0), F.col("contents") * SHARE))).select("host", "node"))
     # A host's list holds numbers of its wrapper's nodes, NODES at most.
-    out = written(made.join(constant.groupBy("host").agg(F.array_sort(F.collect_list("node")).alias("template")), "host", "left"))
-    discard(made)
-    return out
+    out = written(made.join(constant.where("node >= 0").groupBy("host").agg(F.array_sort(F.collect_list("node")).alias("template")), "host", "left"))
+    # Two pages of one hash get both pages' places, which are constant on their host all the same.
+    rest = written(found.where("page is not null").join(constant.where("node < 0"), ["host", "node"]).groupBy("host", "page").agg(F.array_sort(F.collect_set("node")).alias("rest")))
+    for table in (made, found, constant):
+        discard(table)
+    return out, rest
 
 
 def joined(rows: DataFrame, facts: DataFrame) -> DataFrame:
@@ -473,6 +501,14 @@ def joined(rows: DataFrame, facts: DataFrame) -> DataFrame:
     return attach(rows, facts, "host", "pages")
 
 
+def with_rest(rows: DataFrame, rest: DataFrame) -> DataFrame:
+    """rows with their pages' constant places beside the wrapper."""
+    size = rest.agg(F.sum(8 * F.size("rest") + F.octet_length("host") + 8)).first()[0] or 0
+    if not size:
+        return rows.withColumn("rest", F.lit(None).cast("array<long>"))
+    return rows.withColumn("page", F.xxhash64("html")).join(F.broadcast(rest) if size <= SENT else rest, ["host", "page"], "left")
+
+
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """(id, url, text, n_chars) of each page: its main text, blocks a line each, from the whole html.
 
@@ -481,7 +517,9 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     merged from the host's SKELETONS commonest trees; which of its nodes are constant is
     told by all pages: a node is template if pages of at least CONTENTS different main
     texts have it and its own texts are few beside them (SHARE: menus may come in some
-    variants; copies of one article count as one, so they don't look constant). Template goes; so do elements that names (nav,
+    variants; copies of one article count as one, so they don't look constant). Nodes
+    that have no place in the wrapper, as those of rarer trees or beyond its NODES, are told in the
+    same way, by all pages that have a node at the same path. Template goes; so do elements that names (nav,
     footer, form, ...) or words of class, id or role (comments, cookie notice, advert,
     ...) rule out, for what varies from page to page needn't be the article; and if there
     is an `article` or `main`, what lies outside of it. A host with few pages is left to
@@ -495,15 +533,15 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     """
     rows = pick(pages, id_column, url_column, html_column)
     rows = rows.select(F.col(id_column).alias("_id"), F.col(url_column).alias("_url"), F.col(html_column).alias("html"), F.nullif(F.lower(F.regexp_extract(F.col(url_column), HOST, 1)), F.lit("")).alias("host"))
-    facts = wrappers(rows.where(F.col("host").isNotNull()).select("host", "html"))
-    chosen = joined(rows, facts).select("_id", "_url", "html", "wrapper", "template")
+    facts, rest = wrappers(rows.where(F.col("host").isNotNull()).select("host", "html"))
+    chosen = with_rest(joined(rows, facts), rest).select("_id", "_url", "html", "wrapper", "template", "rest")
     schema = T.StructType([chosen.schema["_id"], chosen.schema["_url"], T.StructField("text", T.StringType())])
 
     def run(batches):
         for batch in batches:
             texts = []
-            for value, wrapper, template in zip(*(batch.column(k) for k in (2, 3, 4))):
-                texts.append(main_text(Page(value.as_py() or ""), wrapper.as_py(), frozenset(template.as_py() or ())))
+            for value, wrapper, template, own in zip(*(batch.column(k) for k in (2, 3, 4, 5))):
+                texts.append(main_text(Page(value.as_py() or ""), wrapper.as_py(), frozenset((template.as_py() or []) + (own.as_py() or []))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], schema.names)
 
     out = chosen.mapInArrow(run, schema).withColumn("n_chars", F.length("text").cast("long"))

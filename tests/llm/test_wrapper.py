@@ -179,3 +179,23 @@ def test_awkward_tables(spark):
     assert empty.collect() == [] and empty.columns == ["page_id", "url", "text", "n_chars"]
     named = common.pick(pages, "page_id", "url", "html").withColumnRenamed("url", "host")
     assert {r.text for r in wrapper.extract(named, url_column="host").where("page_id = 1").collect()} == {"x"}
+
+
+@pytest.mark.parametrize("skeletons, sent", [(16, 8 << 20), (16, 0), (1, 8 << 20)])
+def test_rare_layouts_are_told_too(spark, monkeypatch, skeletons, sent):
+    """More layouts on a host than trees that its wrapper is merged from: no menu of any of them stays, no article is lost."""
+    monkeypatch.setattr(wrapper, "SKELETONS", skeletons)
+    monkeypatch.setattr(wrapper, "SENT", sent)
+    letters = "abcdefghijklmnopqrst"
+    rows = [(i * 20 + k, "http://h.org/x", f"<div class=z{c}><div>Home {c}</div><div class=y>Text {i} of {c}</div><div>Legal {c}</div></div>") for i in range(12) for k, c in enumerate(letters)]
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i * 20 + k: f"Text {i} of {c}" for i in range(12) for k, c in enumerate(letters)}
+
+
+def test_nodes_beyond_the_wrapper_are_told_too(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [z + a + b for z in "yz" for a in letters for b in letters]
+    assert len(names) > wrapper.NODES
+    rows = [(i, "http://h.org/x", "".join(f"<div class=x{n}>Text {i} {n}</div>" for n in names) + "<div class=z>Home</div>") for i in range(12)]
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n".join(f"Text {i} {n}" for n in names) for i in range(12)}
